@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm import topk, url_filter
+from paperloom.llm.jaccard import jaccard_components
 from paperloom.llm.licenses import license_scan
 from paperloom.llm.mixing import mix
 from paperloom.llm.quality import quality_rules
@@ -33,6 +34,10 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"), url_filter.production_rules(spark), ["page_id"])
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"), ["doc_id"])
 
@@ -43,6 +48,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality_rules": op3_quality_rules,
         "op4_license_scans": op4_license_scans,
         "op5_url_filters": op5_url_filters,
+        "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
         "op10_source_mixing": op10_source_mixing,
     }
 
