@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import topk, url_filter
+from paperloom.llm import langid, topk, url_filter
 from paperloom.llm.jaccard import jaccard_components
 from paperloom.llm.licenses import license_scan
 from paperloom.llm.mixing import mix
@@ -18,6 +18,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    model = langid.fit(documents, ~held_out & F.col("doc_id").isNotNull())
+    return langid.identify(documents, model, ["doc_id", held_out.alias("held_out")])
+
+
 def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5).withColumnRenamed("id", "vec_id")
 
@@ -44,6 +51,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": op1_language_id,
         "op2_exact_topk": op2_exact_topk,
         "op3_quality_rules": op3_quality_rules,
         "op4_license_scans": op4_license_scans,
