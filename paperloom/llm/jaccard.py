@@ -49,6 +49,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.llm._bloom import build_bloom, may_contain
 from paperloom.llm._shared import Scratch
 from paperloom.llm._words import Words, mix64, slices, strings, window_hashes
 from paperloom.llm.components import components
@@ -289,38 +290,10 @@ def _signs_fit(a: str, b: str, n_a: Column, n_b: Column, percent: int) -> Column
     return apart <= n_a + n_b - 2 * _needed(n_a, n_b, percent)
 
 
-def _bloom(ids: DataFrame, n: int, most_bytes: int) -> tuple[np.ndarray, int]:
-    """A Bloom filter of the ids, of at most ``most_bytes`` (beyond that more ids pass, none is lost)."""
-    bits = 1 << min((most_bytes * 8).bit_length() - 1, max(10, (16 * max(1, n)).bit_length()))
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(bits // 64, np.uint64)
-        for batch in batches:
-            for at in _bloom_bits(batch.column("id").to_numpy(zero_copy_only=False), bits):
-                np.bitwise_or.at(held, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
-        used = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(held[used].view(np.int64))], names=["word", "value"])
-
-    found = ids.mapInArrow(words, "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value")).toArrow()  # bits / 64 rows at most
-    held = np.zeros(bits // 64, np.uint64)
-    held[found["word"].to_numpy()] = found["value"].to_numpy().view(np.uint64)
-    return held, bits
-
-
-def _bloom_bits(ids: np.ndarray, bits: int) -> list[np.ndarray]:
-    h = mix64(ids.view(np.uint64))
-    return [((h >> np.uint64(s)) % np.uint64(bits)).astype(np.int64) for s in (0, 21, 42)] if bits <= 1 << 21 else [(mix64(h + np.uint64(s)) % np.uint64(bits)).astype(np.int64) for s in (0, 1, 2)]
-
-
 def _wanted_sets(batches: Iterator[pa.RecordBatch], size: int, shared) -> Iterator[pa.RecordBatch]:
-    held, bits = shared.value
-
-    def wanted(mark: int) -> bool:
-        return all((int(held[at[0] >> 6]) >> int(at[0] & 63)) & 1 for at in _bloom_bits(np.array([mark], np.int64), bits))
-
     marks, sets, total = [], [], 0
     for tokens, mark in _sets_of(batches, size):
-        if wanted(mark):
+        if may_contain(shared.value, np.array([mark], np.int64))[0]:
             marks.append(mark)
             sets.append(tokens.view(np.int64))
             total += len(tokens)
@@ -342,7 +315,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int, scratc
     if not n_pairs:
         return spark.createDataFrame([], "a long, b long")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    shared = spark.sparkContext.broadcast(_bloom(ids, 2 * n_pairs, bloom_bytes))
+    shared = spark.sparkContext.broadcast(build_bloom(ids, 2 * n_pairs, bloom_bytes))
     sets = scratch.keep(texts.mapInArrow(partial(_wanted_sets, size=size, shared=shared), "id long, tokens array<long>"), f"{name}-sets")
     sets = sets.groupBy("id").agg(F.first("tokens").alias("tokens"))
     found = pairs.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("of_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("of_a")), "a")
@@ -359,7 +332,10 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int, scratc
 def jaccard_components(
     df: DataFrame, keep: list[str], id_col: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, frequent: int = 16, max_frequent: int = 2_000_000, bloom_bytes: int = 1 << 24
 ) -> DataFrame:
-    """The ``keep`` columns of every row with n_shingles and component_id (the smallest id reachable by links)."""
+    """The ``keep`` columns of every row with n_shingles, component_id (the smallest id reachable by links) and class_id.
+
+    class_id names the component whatever its ids are; it is null for empty sets.
+    """
     if not 50 < percent <= 100:
         raise ValueError("percent must be above 50 and at most 100")
     spark = df.sparkSession
@@ -422,4 +398,5 @@ def jaccard_components(
     least = classed.where(F.col("__class").isNotNull()).groupBy("__class").agg(F.min("__id").alias("component"))
     out = classed.join(least, "__class", "left")
     scratch.drop("keys", "pairs1", "pairs2", "placed")
-    return out.select(*keep, "n_shingles", F.when(F.col("__class").isNull(), F.col("__id")).otherwise(F.col("component")).alias("component_id"))
+    component = F.when(F.col("__class").isNull(), F.col("__id")).otherwise(F.col("component"))
+    return out.select(*keep, "n_shingles", component.alias("component_id"), F.col("__class").alias("class_id"))

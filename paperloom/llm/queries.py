@@ -11,7 +11,10 @@ from paperloom.llm import langid, topk, url_filter
 from paperloom.llm.jaccard import jaccard_components
 from paperloom.llm.licenses import license_scan
 from paperloom.llm.mixing import mix
+from paperloom.llm.packing import pack_documents
+from paperloom.llm.pii import personal_data
 from paperloom.llm.quality import quality_rules
+from paperloom.llm.tokens import section_tokens, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,10 +44,22 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"), url_filter.production_rules(spark), ["page_id"])
 
 
+def op6_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(token_counts(_table(spark, sf_dir, "documents"), ["doc_id"]), ["doc_id"], "n_tokens")
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return section_tokens(_table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(_table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"), ["doc_id"])
 
@@ -56,7 +71,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality_rules": op3_quality_rules,
         "op4_license_scans": op4_license_scans,
         "op5_url_filters": op5_url_filters,
+        "op6_bestfit_packing": op6_bestfit_packing,
+        "op7_token_counts": op7_token_counts,
         "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+        "op9_personal_data": op9_personal_data,
         "op10_source_mixing": op10_source_mixing,
     }
 
