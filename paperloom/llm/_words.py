@@ -102,7 +102,7 @@ def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return mix64(out)
 
 
-def slices(batch: pa.RecordBatch, column: str, most_chars: int = 1_000_000, most_rows: int = 2_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most_chars: int = 400_000, most_rows: int = 2_000) -> Iterator[pa.RecordBatch]:
     """Cuts a batch into runs of rows of bounded text length (a single longer text stands alone)."""
     if not batch.num_rows:
         return

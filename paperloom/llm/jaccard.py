@@ -128,7 +128,7 @@ def unpack(blob: bytes, n: int) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint32).ravel(), dtype=np.uint64)
 
 
-def _packed_buckets(batches: Iterator[pa.RecordBatch], size: int, part_bits: int, flush: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def _packed_buckets(batches: Iterator[pa.RecordBatch], size: int, part_bits: int, flush: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     low = np.uint64(BUCKET_BITS - part_bits)
 
     def packed(held: list[np.ndarray]) -> pa.RecordBatch:
@@ -168,7 +168,7 @@ def frequent_tokens(texts: DataFrame, total: int, size: int, floor: int, most: i
     """(sorted buckets, their document counts, the floor), at most ``most`` of them."""
     part_bits = min(30, max(8, math.ceil(math.log2(max(1, total / 2_000_000)))))
     packed = texts.mapInArrow(partial(_packed_buckets, size=size, part_bits=part_bits), "part long, n long, blob binary")
-    counted = scratch.keep(packed.repartition("part").mapInArrow(partial(_frequent_buckets, part_bits=part_bits, floor=floor), "bucket long, df long"), "frequent")
+    counted = scratch.keep(packed.repartition("part").mapInArrow(partial(_frequent_buckets, part_bits=part_bits, floor=floor), "bucket long, df long"), "frequent", narrow=True)
     by_size = {r[0]: r[1] for r in counted.groupBy(F.floor(F.log2("df")).cast("long").alias("c")).count().collect()}  # 64 rows at most
     while sum(n for c, n in by_size.items() if (2 << c) > floor) > most:
         floor *= 2
@@ -316,8 +316,8 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int, scratc
         return spark.createDataFrame([], "a long, b long")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     shared = spark.sparkContext.broadcast(build_bloom(ids, 2 * n_pairs, bloom_bytes))
-    sets = scratch.keep(texts.mapInArrow(partial(_wanted_sets, size=size, shared=shared), "id long, tokens array<long>"), f"{name}-sets")
-    sets = sets.groupBy("id").agg(F.first("tokens").alias("tokens"))
+    sets = texts.mapInArrow(partial(_wanted_sets, size=size, shared=shared), "id long, tokens array<long>")
+    sets = scratch.keep(sets.groupBy("id").agg(F.first("tokens").alias("tokens")), f"{name}-sets")
     found = pairs.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("of_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("of_a")), "a")
     overlap = F.size(F.array_intersect("of_a", "of_b"))
     linked = found.where(100 * overlap >= percent * (F.size("of_a") + F.size("of_b") - overlap)).select("a", "b")
@@ -345,7 +345,7 @@ def jaccard_components(
     schema = rows.drop("__text").schema
     for name in ("n_shingles", "__set", "__s0", "__s1", "__s2", "__s3"):
         schema = schema.add(name, "long")
-    documents = scratch.keep(rows.mapInArrow(partial(_document_rows, size=size), schema), "documents")
+    documents = scratch.keep(rows.mapInArrow(partial(_document_rows, size=size), schema), "documents", narrow=True)
     total = documents.agg(F.sum("n_shingles")).first()[0] or 0
     entities = documents.where(F.col("__set").isNotNull()).groupBy(F.col("__set").alias("id")).agg(F.first("n_shingles").alias("n"), *[F.first(f"__s{i}").alias(f"s{i}") for i in range(4)])
 
@@ -355,7 +355,7 @@ def jaccard_components(
     keys = texts.mapInArrow(partial(_key_rows, size=size, percent=percent, shared=shared), key_schema)
     # a rare key's sets meet in one task; combined keys only pass, dealt by key and set
     place = F.when(F.col("kind") == COMBINED, F.xxhash64("key", "id")).otherwise(F.col("key"))
-    found = scratch.keep(keys.repartition(place).mapInArrow(partial(_rare_pairs, percent=percent), key_schema), "keys")
+    found = scratch.keep(keys.repartition(place).mapInArrow(partial(_rare_pairs, percent=percent), key_schema), "keys", narrow=True)
     near = found.where(F.col("kind") == RARE).select(F.col("key").alias("a"), F.col("id").alias("b"))
     combined = found.where(F.col("kind") == COMBINED).select("key", "id", F.col("n").cast("long").alias("n"), F.col("at").cast("long").alias("r")).distinct()
 

@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.llm._shared import small_batches
 from paperloom.llm._words import slices, strings
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -92,6 +93,7 @@ class Model:
 
 def fit(df: DataFrame, labelled: Column, text: str = "text", lang: str = "lang", max_model_bytes: int = 1 << 26, max_languages: int = 10_000, smooth: float = 0.5) -> Model:
     """The model of the rows where ``labelled`` holds and the label isn't null."""
+    small_batches(df.sparkSession)
     rows = df.where(labelled & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("__lang"), F.col(text).alias("__text"))
     languages = sorted(r[0] for r in rows.select("__lang").distinct().limit(max_languages + 1).collect())
     if len(languages) > max_languages:
@@ -186,7 +188,7 @@ def identify(df: DataFrame, model: Model, keep: list[Column | str], text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
         for batch in batches:
-            for part in slices(batch, "__text", most_chars=300_000):
+            for part in slices(batch, "__text", most_chars=200_000):
                 shares = mixtures(strings(part, "__text"), own)
                 known = shares.sum(axis=1) > 0 if shares.size else np.zeros(part.num_rows, bool)
                 top = shares.argmax(axis=1) if shares.size else np.zeros(part.num_rows, np.int64)

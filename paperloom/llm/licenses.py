@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.llm._shared import small_batches
 from paperloom.llm._words import ALNUM, LOWER, slices, strings
 
 #: Phrase and the label that each of its places gives.
@@ -169,6 +170,7 @@ def license_scan(df: DataFrame, keep: list[str], text: str = "text", phrases: di
     The score is 1 if a template accepts the text, 0.5 if only a base phrase
     occurs, else 0.
     """
+    small_batches(df.sparkSession)
     automata = [compile_template(k, v) for k, v in templates.items()]
     kinds = {"n_words": "long", "n_base": "long", "first_word": "long", "last_word": "long", "base_labels": "string", "labels": "string", "score": "double", "templates": "long"}
     arrow = {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}

@@ -115,7 +115,7 @@ def mix(
     """The ``keep`` columns of every row with size, source_size, target, copies and taken words."""
     spark = df.sparkSession
     scratch = Scratch(spark, "mix")
-    sized = scratch.keep(with_sizes(df, keep, text, source), "sized")
+    sized = scratch.keep(with_sizes(df, keep, text, source), "sized", narrow=True)
     per_source = sized.groupBy("__source").agg(F.sum("size").alias("size"), F.count("*").alias("rows"))
     found = per_source.limit(max_sources + 1).collect()
     if len(found) > max_sources:
@@ -171,7 +171,7 @@ def mix(
     while True:
         # a bucket is whole in one task; its rows are bounded by bucket_rows, or by fan_in residuals of each source
         dealt = current.repartition(min(groups, 4096) if level == 0 else max(1, min(groups, 64)), "__group")
-        step = scratch.keep(dealt.mapInArrow(reduce_level(level), out), f"level{level}")
+        step = scratch.keep(dealt.mapInArrow(reduce_level(level), out), f"level{level}", narrow=True)
         closed = step.where(F.col("__group") < 0)
         decided = closed if decided is None else decided.unionByName(closed)
         if groups == 1:

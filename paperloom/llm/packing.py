@@ -155,7 +155,7 @@ def pack_documents(df: DataFrame, keep: list[str], size: str, lengths: tuple[int
     lengths = tuple(sorted(set(lengths)))
     scratch = Scratch(df.sparkSession, "packing")
     rows = df.select(*keep, F.coalesce(F.col(size), F.lit(0)).cast("long").alias("__size"), F.xxhash64(*keep, size).alias("__key"))
-    rows = scratch.keep(rows, "sizes")  # sizes may come from a costly scan
+    rows = scratch.keep(rows, "sizes", narrow=True)  # sizes may come from a costly scan
     largest = lengths[-1]
     # groups are bounded by pieces, as one document can have very many
     n = rows.agg(F.sum(F.greatest(F.lit(1), F.ceil(F.col("__size") / largest)))).first()[0] or 0

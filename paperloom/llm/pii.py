@@ -237,7 +237,7 @@ def personal_data(df: DataFrame, keep: list[str], text: str = "text", limits: Di
     schema = rows.drop("__text").schema
     for kind in KINDS:
         schema = schema.add(f"n_{kind}", "long", False)
-    digests = scratch.keep(rows.mapInArrow(_digests, schema.add("base_sha256", "string").add("__base", "string").add("__key", "binary")), "digests")
+    digests = scratch.keep(rows.mapInArrow(_digests, schema.add("base_sha256", "string").add("__base", "string").add("__key", "binary")), "digests", narrow=True)
     plain = digests.where(F.col("__key").isNull()).withColumns({"spans": F.col("__base"), "n_term": F.lit(0).cast("long")})
     listed = F.coalesce(F.transform("terms", lambda t: F.concat(F.lit("term:"), t["start"].cast("string"), F.lit(":"), t["end"].cast("string"))), F.array().cast("array<string>"))
     marked = digests.where(F.col("__key").isNotNull()).join(terms.withColumnRenamed("text_key", "__key"), "__key", "left")

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.llm._shared import small_batches
 from paperloom.llm._words import Words, mix64, slices, strings
 
 SYMBOLS = "#*$%&|<>"
@@ -153,6 +154,7 @@ def quality_rules(df: DataFrame, keep: list[str], text: str = "text", limits: Re
                 found = measure(strings(part, "__text"), limits)
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in range(len(keep))] + [pa.array(found[c]) for c in COUNTS], names=[*keep, *COUNTS])
 
+    small_batches(df.sparkSession)
     rows = df.select(*keep, F.col(text).alias("__text"))
     schema = rows.select(*keep).schema
     for name in COUNTS:

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperloom.llm._shared import small_batches
 from paperloom.llm._words import slices, strings
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -49,6 +50,7 @@ def _encoding(vocabulary: bytes):
 
 
 def load_vocabulary(spark: SparkSession, path: str = VOCABULARY):
+    small_batches(spark)
     with open(path, "rb") as f:
         return spark.sparkContext.broadcast(f.read())
 
