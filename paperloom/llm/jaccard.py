@@ -394,9 +394,12 @@ def jaccard_components(
     if not more.isEmpty():
         roots = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more), scratch, "roots2-")
 
-    classed = documents.join(roots.select(F.col("id").alias("__set"), "root"), "__set", "left").withColumn("__class", F.coalesce("root", "__set"))
-    least = classed.where(F.col("__class").isNotNull()).groupBy("__class").agg(F.min("__id").alias("component"))
-    out = classed.join(least, "__class", "left")
-    scratch.drop("keys", "pairs1", "pairs2", "placed")
+    # components of entities first: each is there once, however many copies it has
+    least = documents.where(F.col("__set").isNotNull()).groupBy("__set").agg(F.min("__id").alias("least"))
+    classed = scratch.keep(least.join(roots.select(F.col("id").alias("__set"), "root"), "__set", "left").select("__set", "least", F.coalesce("root", "__set").alias("__class")), "classes", narrow=True)
+    smallest = scratch.keep(classed.groupBy("__class").agg(F.min("least").alias("component")), "smallest", narrow=True)
+    placed_in = classed.select("__set", "__class").join(smallest, "__class")
+    out = documents.join(scratch.keep(placed_in, "placed_in", narrow=True), "__set", "left")
+    scratch.drop("keys", "pairs1", "pairs2", "placed", "classes", "smallest")
     component = F.when(F.col("__class").isNull(), F.col("__id")).otherwise(F.col("component"))
     return out.select(*keep, "n_shingles", component.alias("component_id"), F.col("__class").alias("class_id"))
