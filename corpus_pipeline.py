@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import partial
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperloom.llm._bloom import build_bloom, may_contain
 from paperloom.llm._shared import Scratch
 from paperloom.llm.jaccard import jaccard_components
 from paperloom.llm.mixing import mix
@@ -24,15 +27,30 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of linked documents: the smallest doc_id's (rows without words are no group)."""
+    """One row of each group of linked documents: the smallest doc_id's (rows without words are no group).
+
+    Only rows that may have to go are shuffled: a bounded Bloom filter holds the
+    hashes of rows that are not their group's first, or that occur twice; rows that
+    it rejects stay where they are, the others are decided by an exact join.
+    """
     keyed = docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("__row"))
-    classed = jaccard_components(keyed, ["doc_id", "__row"])
-    grouped = classed.where(F.col("class_id").isNotNull()).groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("first")).select(F.col("first.__row").alias("__row"))
-    kept = grouped.unionByName(classed.where(F.col("class_id").isNull()).select("__row")).distinct()
-    found = keyed.join(kept, "__row", "left_semi")
-    # repeated rows are copies of each other, those without words aside
-    first = found.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).dropDuplicates(["__row"])
-    return first.unionByName(found.where(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))).select(*COLUMNS)
+    scratch = Scratch(spark, "near-copies")
+    classed = scratch.keep(jaccard_components(keyed, ["doc_id", "__row"]).where(F.col("class_id").isNotNull()).select("doc_id", "__row", "class_id"), "classed", narrow=True)
+    first = classed.groupBy("class_id").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__row")).alias("first"))
+    first = scratch.keep(first.where("n > 1").select("class_id", F.col("first.__row").alias("__first")), "first", narrow=True)
+    grouped = scratch.keep(classed.join(first, "class_id").select("__row", "__first").distinct(), "grouped", narrow=True)
+    bloom = spark.sparkContext.broadcast(build_bloom(grouped.select(F.col("__row").alias("id")), grouped.count()))
+    alone = keyed.mapInArrow(partial(_by_bloom, shared=bloom, inside=False), keyed.schema)
+    maybe = keyed.mapInArrow(partial(_by_bloom, shared=bloom, inside=True), keyed.schema)
+    known = maybe.join(grouped.withColumn("__stays", F.col("__row") == F.col("__first")).drop("__first"), "__row", "left")
+    firsts = known.where("__stays").dropDuplicates(["__row"])  # repeated rows are copies of each other
+    return alone.select(*COLUMNS).unionByName(known.where(F.col("__stays").isNull()).select(*COLUMNS)).unionByName(firsts.select(*COLUMNS))
+
+
+def _by_bloom(batches: Iterator[pa.RecordBatch], shared, inside: bool) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        hit = may_contain(shared.value, batch.column("__row").to_numpy(zero_copy_only=False))
+        yield batch.filter(pa.array(hit == inside))
 
 
 def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,9 +61,11 @@ def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mix takes it."""
     keyed = docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("__row"))
-    copies = mix(keyed, ["__row"]).groupBy("__row").agg(F.sum("copies").cast("int").alias("__n")).where(F.col("__n") > 0)
-    # equal rows were counted together, so one of them stands for all
-    taken = keyed.dropDuplicates(["__row"]).join(copies, "__row")
+    copies = mix(keyed, ["__row"]).groupBy("__row").agg(F.sum("copies").cast("int").alias("__n"), (F.count("*") > 1).alias("__repeated"))
+    copies = Scratch(spark, "copies").keep(copies.where("__n > 0"), "copies", narrow=True)
+    taken = keyed.join(copies, "__row")
+    # equal rows were counted together, so one of them stands for all; the texts' exchange is shared by both parts
+    taken = taken.where("not __repeated").unionByName(taken.where("__repeated").dropDuplicates(["__row"]))
     return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__n"))).select(*COLUMNS)
 
 
