@@ -17,7 +17,11 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--provider", help="groq, gemini, ollama or mock")
     p.add_argument("--mock", action="store_true", help="the offline stand-in")
     p.add_argument("--out", help="where to write results (Parquet)")
+    p.add_argument("--session", help="folder of a saved session: briefings and answers so far")
+    p.add_argument("--export-json", help="where to write results as JSON lines")
     p.add_argument("--export-md", help="where to write briefings as Markdown rows (Parquet)")
+    p.add_argument("--paper", help="the paper that questions typed in are asked of")
+    p.add_argument("--no-interactive", action="store_true", help="don't wait for questions")
     p.add_argument("--today", default="2026-01-01", help="the day that recency is counted from")
     p.add_argument("--graph", action="store_true", help="print the workflow as Mermaid")
     return p
@@ -52,32 +56,59 @@ def _run(args: argparse.Namespace) -> int:
 
         print(research_flow().mermaid())
         return 0
-    if not (args.papers and args.sections and (args.request or args.questions)):
-        print("papers, sections, and a request or questions are needed", file=sys.stderr)
+    if not (args.papers and args.sections and (args.request or args.questions or args.paper)):
+        print("papers, sections, and a request, questions or a paper are needed", file=sys.stderr)
         return 1
     from pyspark.sql import SparkSession
 
     from paperloom.operators.briefing import markdown
     from paperloom.plans.research import analyze, ask, build_library
+    from paperloom.sources.sessions import append_session, session_turns
 
     spark = SparkSession.builder.appName("paperloom").getOrCreate()
     try:
         library = build_library(spark.read.parquet(args.papers), spark.read.parquet(args.sections), settings)
+        if args.session:
+            print(f"turns so far: {session_turns(spark, args.session)}", file=sys.stderr)
+        result = None
         if args.questions:
             result = ask(spark.read.parquet(args.questions), library, settings)
-        else:
+        elif args.request:
             result = analyze(spark.createDataFrame([(1, args.request)], "request_id int, request string"), library, args.today, settings)
             if args.export_md:
                 markdown(result).write.mode("overwrite").parquet(args.export_md)
+        if result is not None:
+            if args.out:
+                result.write.mode("overwrite").parquet(args.out)
+            if args.export_json:
+                result.write.mode("overwrite").json(args.export_json)
+            if not (args.out or args.export_json):
+                result.show(truncate=100)
     except Exception as e:  # unreadable input
         print(str(e).splitlines()[0], file=sys.stderr)
         return 1
-    if args.out:
-        result.write.mode("overwrite").parquet(args.out)
-    else:
-        result.show(truncate=100)
+    if args.paper and not args.no_interactive:
+        for turn, question in enumerate(typed_questions(), 1):
+            answered = ask(spark.createDataFrame([(turn, args.paper, question)], "question_id int, paper_id string, question string"), library, settings)
+            if args.session:
+                append_session(answered, args.session)
+            for row in answered.collect():
+                print(row.answer)
     return 0
 
 
+def typed_questions():
+    """Lines until an empty input, exit, quit or q."""
+    while True:
+        try:
+            line = input("> ").strip()
+        except EOFError:
+            return
+        if line.lower() in ("exit", "quit", "q"):
+            return
+        if line:
+            yield line
+
+
 if __name__ == "__main__":
     sys.exit(main())

@@ -29,6 +29,16 @@ def load_sessions(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return from_json_rows(spark.read.parquet(path), schema)
 
 
+def append_session(answers: DataFrame, path: str) -> None:
+    """Adds answers to a session's history."""
+    answers.write.mode("append").parquet(f"{path}/history")
+
+
+def session_turns(spark: SparkSession, path: str) -> int:
+    """How many answers a saved session holds; an unreadable one is an error."""
+    return spark.read.parquet(f"{path}/history").count()
+
+
 def save_index(index: Index, path: str, buckets: int = 16) -> None:
     """Postings and term statistics, partitioned by a bucket of the paper, so that a paper's part can be read alone."""
     for name, table in (("postings", index.postings), ("terms", index.terms)):

@@ -187,9 +187,21 @@ def test_settings(tmp_path):
     assert "offline" in describe_provider(Settings())
 
 
-def test_command_line(capsys):
+def test_command_line(spark, tmp_path, monkeypatch, capsys):
     assert cli.main(["x", "--provider", "gemini"]) == 2
     assert cli.main(["topic", "--mock"]) == 1
+    papers(spark).write.parquet(str(tmp_path / "p"))
+    sections(spark).write.parquet(str(tmp_path / "s"))
+    given = ["--mock", "--papers", str(tmp_path / "p"), "--sections", str(tmp_path / "s")]
+    assert cli.main(["graph learning", *given, "--export-json", str(tmp_path / "out")]) == 0
+    assert "Graph learning" in spark.read.json(str(tmp_path / "out")).first().title
+    assert cli.main(["x", "--mock", "--papers", str(tmp_path / "none"), "--sections", str(tmp_path / "s")]) == 1
+    assert cli.main([*given, "--paper", "1706.1", "--session", str(tmp_path / "lost")]) == 1  # no such session
+    sessions.append_session(spark.createDataFrame([(0, "1706.1", "q", "a", True, 0.5)], "question_id int, paper_id string, question string, answer string, is_grounded boolean, confidence double"), str(tmp_path / "kept"))
+    lines = iter(["", "how many layers and heads", "quit"])
+    monkeypatch.setattr("builtins.input", lambda _: next(lines))
+    assert cli.main([*given, "--paper", "1706.1", "--session", str(tmp_path / "kept")]) == 0
+    assert "[Source 1]" in capsys.readouterr().out and sessions.session_turns(spark, str(tmp_path / "kept")) == 2
 
 
 # --- sources and streams -----------------------------------------------------
