@@ -1,8 +1,10 @@
-"""The inverted index of passages: postings with weights, and term statistics.
+"""The inverted index of passages: postings, passage norms, and term statistics.
 
-An index is relational: ``postings(paper_id, chunk_id, term, tf, weight)`` with
-weights divided by their passage's norm, and ``terms(paper_id, term, df, n_chunks,
-idf)``.  Every paper is a corpus of its own.
+An index is relational: ``postings(paper_id, chunk_id, term, tf, raw)``,
+``norms(paper_id, chunk_id, norm)`` and ``terms(paper_id, term, df, n_chunks, idf)``.
+Every paper is a corpus of its own.  A posting's weight is raw / norm; the division is
+left to the scores, which are few: postings, joined with idf by (paper_id, term), meet
+a question's terms in the same partitioning, and are not shuffled again.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from paperloom.functions.text import tokens
 @dataclass(frozen=True)
 class Index:
     postings: DataFrame
+    norms: DataFrame
     terms: DataFrame
 
 
@@ -37,17 +40,15 @@ def build_index(chunks: DataFrame, text: str = "text") -> Index:
     """The index of ``chunks`` (paper_id, chunk_id, text)."""
     frequencies = term_frequencies(chunks, text)
     terms = term_statistics(frequencies, chunks)
-    raw = frequencies.join(terms.select("paper_id", "term", "idf"), ["paper_id", "term"]).withColumn("raw", (F.log("tf") + 1) * F.col("idf"))
+    postings = frequencies.join(terms.select("paper_id", "term", "idf"), ["paper_id", "term"]).select("paper_id", "chunk_id", "term", "tf", ((F.log("tf") + 1) * F.col("idf")).alias("raw"))
     # norms by an aggregate, not a window: a hot paper's rows stay spread over tasks
-    norms = raw.groupBy("paper_id", "chunk_id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    postings = raw.join(norms, ["paper_id", "chunk_id"]).select("paper_id", "chunk_id", "term", "tf", (F.col("raw") / F.col("norm")).alias("weight"))
-    return Index(postings, terms)
+    norms = postings.groupBy("paper_id", "chunk_id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
+    return Index(postings, norms, terms)
 
 
-def chunk_norms(index: Index) -> DataFrame:
-    """The norm of every passage before division (a check on an index)."""
-    raw = index.postings.join(index.terms.select("paper_id", "term", "idf"), ["paper_id", "term"])
-    return raw.groupBy("paper_id", "chunk_id").agg(F.sqrt(F.sum(F.pow((F.log("tf") + 1) * F.col("idf"), 2))).alias("norm"))
+def weights(index: Index) -> DataFrame:
+    """paper_id, chunk_id, term and its weight in a passage vector of unit length."""
+    return index.postings.join(index.norms, ["paper_id", "chunk_id"]).select("paper_id", "chunk_id", "term", (F.col("raw") / F.col("norm")).alias("weight"))
 
 
 def vocabulary(index: Index) -> DataFrame:

@@ -33,7 +33,8 @@ def lexical_scores(questions: DataFrame, index: Index) -> DataFrame:
     """question_id, paper_id, chunk_id and cosine of the passages that share a term with the question."""
     asked = query_vectors(questions, index).withColumnRenamed("weight", "asked")
     both = index.postings.join(asked, ["paper_id", "term"])
-    return both.groupBy(*ASKED, "chunk_id").agg(F.round(F.sum(F.col("weight") * F.col("asked")), DIGITS).alias("lexical"))
+    products = both.groupBy(*ASKED, "chunk_id").agg(F.sum(F.col("raw") * F.col("asked")).alias("product"))
+    return products.join(index.norms, ["paper_id", "chunk_id"]).select(*ASKED, "chunk_id", F.round(F.col("product") / F.col("norm"), DIGITS).alias("lexical"))
 
 
 def best(scores: DataFrame, score: str, k: int) -> DataFrame:

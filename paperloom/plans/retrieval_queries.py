@@ -47,7 +47,7 @@ def idf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {POSTINGS} SELECT paper_id, chunk_id, round(norm, 6) AS norm FROM norms")
 def doc_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.chunk_norms(I.build_index(passages(spark, sf_dir))).withColumn("norm", F.round("norm", 6))
+    return I.build_index(passages(spark, sf_dir)).norms.withColumn("norm", F.round("norm", 6))
 
 
 @query(f"WITH {IDF} SELECT paper_id, count(*) AS n_terms FROM idf GROUP BY 1")

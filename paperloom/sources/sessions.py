@@ -40,14 +40,14 @@ def session_turns(spark: SparkSession, path: str) -> int:
 
 
 def save_index(index: Index, path: str, buckets: int = 16) -> None:
-    """Postings and term statistics, partitioned by a bucket of the paper, so that a paper's part can be read alone."""
-    for name, table in (("postings", index.postings), ("terms", index.terms)):
+    """Postings, norms and term statistics, partitioned by a bucket of the paper, so that a paper's part can be read alone."""
+    for name, table in (("postings", index.postings), ("norms", index.norms), ("terms", index.terms)):
         table.withColumn("bucket", F.pmod(F.xxhash64("paper_id"), F.lit(buckets)).cast("int")).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}")
 
 
 def load_index(spark: SparkSession, path: str) -> Index:
     """A saved index as it was; nothing is built again."""
-    return Index(spark.read.parquet(f"{path}/postings").drop("bucket"), spark.read.parquet(f"{path}/terms").drop("bucket"))
+    return Index(*[spark.read.parquet(f"{path}/{name}").drop("bucket") for name in ("postings", "norms", "terms")])
 
 
 def read_eval_questions(spark: SparkSession, path: str) -> DataFrame:

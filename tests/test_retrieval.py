@@ -36,7 +36,7 @@ def test_lexical_search_and_gate(spark, chunks):
 
 
 def test_postings_have_unit_length(spark, chunks):
-    norms = I.build_index(chunks).postings.groupBy("paper_id", "chunk_id").agg(F.sum(F.col("weight") ** 2).alias("n")).collect()
+    norms = I.weights(I.build_index(chunks)).groupBy("paper_id", "chunk_id").agg(F.sum(F.col("weight") ** 2).alias("n")).collect()
     assert all(abs(r.n - 1) < 1e-9 for r in norms)
 
 
