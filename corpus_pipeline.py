@@ -63,7 +63,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed = docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("__row"))
     copies = mix(keyed, ["__row"]).groupBy("__row").agg(F.sum("copies").cast("int").alias("__n"), (F.count("*") > 1).alias("__repeated"))
     copies = Scratch(spark, "copies").keep(copies.where("__n > 0"), "copies", narrow=True)
-    taken = keyed.join(copies, "__row")
+    # merged at every size: which rows are taken is known only after the join, so texts meet their copies by a shuffle
+    taken = keyed.join(copies.hint("merge"), "__row")
     # equal rows were counted together, so one of them stands for all; the texts' exchange is shared by both parts
     taken = taken.where("not __repeated").unionByName(taken.where("__repeated").dropDuplicates(["__row"]))
     return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__n"))).select(*COLUMNS)
