@@ -1,7 +1,10 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
 Each source gets a target number of words; a document's expected number of
-copies is target / source size.  Its integral part is taken at once.  The
+copies is target / source size.  A document larger than its source's whole target
+cannot be part of a mix that meets it; such documents are left out if the others can
+reach the target with ``most`` copies at most, and the others' expected copies rise.
+The integral part of the expected copies is taken at once.  The
 fractional parts are rounded in pairs: two documents of a source exchange word
 mass, in a random direction that keeps both expectations, until one of them is
 integral.  The exchange keeps the pair's words constant, so a source misses its
@@ -10,7 +13,8 @@ target only by the last fraction, less than one document.
 Documents are dealt by content hash into buckets of bounded size (their number
 follows the table, not the cluster).  A bucket leaves at most one fractional
 document per source; those residuals are combined through a reduction tree of
-``fan_in`` until each source has none.  A hot source is spread over all buckets.
+``fan_in`` until each source has one at most, which is rounded to the nearer side.  A
+hot source is spread over all buckets.
 Random draws are hashes of a seed and the documents' keys, so reruns agree.
 
 Only one row per source (its size) reaches the driver: sources are the mix's
@@ -122,9 +126,18 @@ def mix(
         raise ValueError(f"more than {max_sources} sources")
     sizes = {r["__source"]: r["size"] for r in found}
     target = targets(sizes, weights, most)
-    ratio = {s: target[s] / sizes[s] if sizes[s] else 0.0 for s in sizes}
+    known = spark.createDataFrame([(s, int(sizes[s]), float(target[s])) for s in sizes], "s string, source_size long, target double")
+    same = F.col("__source").eqNullSafe(F.col("s"))
+    large = sized.join(F.broadcast(known), same).where(F.col("size") > F.col("target")).groupBy("__source").agg(F.sum("size").alias("size"))
+    limit, ratio = dict(target), {}
+    above = {r["__source"]: r["size"] for r in large.collect()}  # max_sources rows at most, as before
+    for s, size in sizes.items():
+        rest = size - above.get(s, 0)
+        if not 0 < target[s] <= most * rest:
+            rest, limit[s] = size, float("inf")
+        ratio[s] = target[s] / rest if rest else 0.0
     n_buckets = max(1, math.ceil(sum(r["rows"] for r in found) / bucket_rows))
-    plan = spark.sparkContext.broadcast({s: (sizes[s], target[s], ratio[s]) for s in sizes})  # at most max_sources entries
+    plan = spark.sparkContext.broadcast({s: (ratio[s], limit[s]) for s in sizes})  # at most max_sources entries
 
     carried = sized.select(*keep).schema
     state = T.StructType([*carried.fields]).add("__source", "string").add("__key", "long").add("size", "long")
@@ -142,7 +155,8 @@ def mix(
             if level:
                 whole, part = table["__whole"].to_numpy().copy(), table["__part"].to_numpy().copy()
             else:
-                expected = np.array([plan.value[s][2] for s in sources])
+                expected = np.array([plan.value[s][0] for s in sources])
+                expected[size > np.array([plan.value[s][1] for s in sources])] = 0.0
                 near = np.rint(expected)
                 expected = np.where(np.abs(expected - near) < 1e-12, near, expected)
                 whole = np.floor(expected).astype(np.int64)
@@ -177,11 +191,9 @@ def mix(
         if groups == 1:
             break
         current, groups, level = step.where(F.col("__group") >= 0), math.ceil(groups / fan_in), level + 1
-    # the root's residual, one of each source at most, is rounded on its own
+    # the root's residual, one of each source at most, goes to the nearer side
     last = step.where(F.col("__group") >= 0)
-    chance = F.pmod(F.xxhash64("__key", F.lit(_SEED)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    decided = decided.unionByName(last.withColumn("__whole", F.col("__whole") + (chance < F.col("__part")).cast("long")))
+    decided = decided.unionByName(last.withColumn("__whole", F.col("__whole") + (F.col("__part") >= 0.5).cast("long")))
     scratch.drop("sized")
-    totals = spark.createDataFrame([(s, int(sizes[s]), float(target[s])) for s in sizes], "s string, source_size long, target double") if sizes else spark.createDataFrame([], "s string, source_size long, target double")
-    joined = decided.join(F.broadcast(totals), F.col("__source").eqNullSafe(F.col("s")), "left")  # bounded by max_sources
+    joined = decided.join(F.broadcast(known), same, "left")  # bounded by max_sources
     return joined.select(*keep, "size", "source_size", "target", F.col("__whole").alias("copies"), (F.col("__whole") * F.col("size")).alias("taken"))
