@@ -92,7 +92,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
+        mark = Scratch.mark()
         docs = scratch.keep(stage(spark, docs, sf_dir), f"{i}_{name}")
+        Scratch.release(spark, mark)
         if i:
             scratch.drop(f"{i - 1}_{STAGES[i - 1][0]}")
     return docs

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from typing import ClassVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,13 +37,17 @@ class Scratch:
     """Intermediate tables of one operator call, written once and reread.
 
     A written table cuts lineage, survives lost executors and is computed only
-    once.  ``drop`` removes those that the operator's lazy result doesn't read.
+    once.  ``drop`` removes those that the operator's lazy result doesn't read;
+    ``release`` removes the rest, once that result has been written.
     """
 
+    _made: ClassVar[list[str]] = []
+
     def __init__(self, spark: SparkSession, name: str):
         small_batches(spark)
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self._made.append(self.root)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -54,7 +59,22 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
         for name in names or ("",):
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(self.spark, self.path(name) if name else self.root)
+
+    @classmethod
+    def mark(cls) -> int:
+        """Stands for the folders made up to now."""
+        return len(cls._made)
+
+    @classmethod
+    def release(cls, spark: SparkSession, since: int) -> None:
+        """Removes the folders made since a mark; nothing may read them any more."""
+        for root in cls._made[since:]:
+            _delete(spark, root)
+        del cls._made[since:]
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
