@@ -14,7 +14,7 @@ from paperloom.providers.models import generate
 TEXTS = ("summary_plain_english", "problem_statement")
 LISTS = ("method_approach", "key_results_claims", "limitations", "suggested_followup_questions")
 NO_LIMITATIONS = "No limitations were reported; see the paper's own discussion of them."
-STOCK_QUESTIONS = ("What problem does this paper address?", "What are the main results?", "What limitations do the authors acknowledge?")
+STOCK_QUESTIONS = ("Which question do the authors set out to answer?", "What did their experiments show?", "Where does the approach fall short?")
 SYSTEM = "You write accurate briefings of scientific papers. Reply with one JSON object and nothing else; state only what the text says."
 
 

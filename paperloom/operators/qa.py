@@ -42,7 +42,7 @@ def answers(asked: DataFrame, make: Callable[[], LanguageModel]) -> DataFrame:
     text, error = F.col("reply.text"), F.col("reply.error")
     grounded = error.isNull() & ~is_refusal(text)
     answer = F.when(error.isNotNull(), F.concat(F.lit("The language model could not be reached: "), error)).otherwise(
-        F.coalesce(F.concat(F.lit("The passages found do not answer this. "), refusal_reason(text)), strip(text))
+        F.coalesce(F.concat(F.lit("These passages hold no answer: "), refusal_reason(text)), strip(text))
     )
     return gated.unionByName(
         replied.select(

@@ -46,7 +46,7 @@ def test_answers(spark):
     assert not got[2].is_grounded and got[2].citations == [] and got[2].confidence == 0
     assert got[3].citations[0].chunk_id == "metadata"
     refused = {r.question_id: r for r in research.ask(asked, library, make=Refusing).collect()}
-    assert not refused[1].is_grounded and refused[1].answer == "The passages found do not answer this. the budget is not stated." and refused[1].confidence > 0
+    assert not refused[1].is_grounded and refused[1].answer == "These passages hold no answer: the budget is not stated." and refused[1].confidence > 0
     failed = {r.question_id: r for r in research.ask(asked, library, make=Failing).collect()}
     assert failed[1].answer.endswith("down") and failed[1].confidence == 0 and failed[2].answer == qa.NO_SOURCE
 
