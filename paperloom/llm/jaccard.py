@@ -20,10 +20,10 @@ link when their sets' Jaccard similarity reaches the threshold.
    o, at most S - 2 o tokens can part common ones; o >= t S / (1 + t) bounds that by
    S (1 - t) / (1 + t), so one more common token than that, and one, is enough.)
 5. Pairs pass filters on sizes, prefix positions and 256-bit parity signatures, and
-   are verified on the whole sets.  Keys of the frequent class may have very many
-   sets, so they are first compared with one centre of each key, the set with the
-   fewest rare tokens.  Linked sets form components, and only sets of one key in
-   different components are then compared with each other.
+   are verified on the whole sets.  The sets of a key are first compared with one
+   centre only: the set that has the key earliest in its prefix, or (frequent class)
+   the set with the fewest rare tokens.  Linked sets form components, and only sets
+   of one key in different components are then compared with each other.
 
 No link is lost: a pair is skipped only if it is connected already or a filter
 proves it too dissimilar.
@@ -181,7 +181,10 @@ def frequent_tokens(texts: DataFrame, total: int, size: int, floor: int, most: i
 
 # --- index keys --------------------------------------------------------------
 
-RARE, COMBINED = 0, 1
+#: Kinds of rows: a rare key (or a pair of one with its centre), a combined key, a rare key of many sets, and another
+#: pair of a rare key of few sets (few enough to list: their pairs recur in most of their keys, and are told once a task).
+RARE, COMBINED, SHARED, LATER = 0, 1, 2, 3
+FEW = 32
 
 
 def index_keys(tokens: np.ndarray, df: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -235,7 +238,7 @@ def _key_rows(batches: Iterator[pa.RecordBatch], size: int, percent: int, shared
 
 
 def _rare_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of sets that share a rare key; rows of combined keys pass through."""
+    """Pairs of a rare key's centre and its other sets; rows of keys that need more than that pass through."""
     names = ["kind", "key", "id", "n", "at"]
     held: list[list[np.ndarray]] = []
     for batch in batches:
@@ -253,24 +256,40 @@ def _rare_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
     fresh = np.ones(len(key), bool)
     fresh[1:] = (key[1:] != key[:-1]) | (entity[1:] != entity[:-1])
     key, entity, n, at = key[fresh], entity[fresh], n[fresh], at[fresh]
-    starts = np.flatnonzero(np.diff(key, prepend=key[0] - 1 if len(key) else 0)) if len(key) else np.empty(0, np.int64)
+    if not len(key):
+        return
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     sizes = np.diff(np.append(starts, len(key)))
-    left, right = [], []
+
+    def fitting(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The pairs of rows that can link by size and place, smaller entity first."""
+        need = -(-percent * (n[a] + n[b]) // (100 + percent))
+        fit = (a != b) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])) & (np.minimum(n[a] - at[a], n[b] - at[b]) >= need)
+        return np.sort(np.stack([entity[a[fit]], entity[b[fit]]], axis=1), axis=1)
+
+    first, later = [], []
     for m in np.unique(sizes[sizes > 1]):  # below the floor of the frequent class
-        i, j = np.triu_indices(m, 1)
-        groups = starts[sizes == m]
-        step = max(1, 2_000_000 // len(i))
-        for begin in range(0, len(groups), step):
-            base = groups[begin : begin + step, None]
-            a, b = (base + i[None, :]).ravel(), (base + j[None, :]).ravel()
-            need = -(-percent * (n[a] + n[b]) // (100 + percent))
-            fit = (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])) & (np.minimum(n[a] - at[a], n[b] - at[b]) >= need)
-            left.append(entity[a[fit]])
-            right.append(entity[b[fit]])
-    if left:
-        pairs = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], axis=1), axis=0)  # left < right, as entities are sorted
-        k = len(pairs)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(k, RARE, np.int8)), pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), pa.array(np.zeros(k, np.int32)), pa.array(np.zeros(k, np.int32))], names=names)
+        rows = starts[sizes == m][:, None] + np.arange(m)[None, :]
+        centre = at[rows].argmin(axis=1)
+        first.append(fitting(np.repeat(rows[np.arange(len(rows)), centre], m), rows.ravel()))
+        if m > FEW:
+            own = rows.ravel()
+            yield _rows(names, np.full(len(own), SHARED, np.int8), key[own], entity[own], n[own], at[own])
+        elif m > 2:
+            i, j = np.triu_indices(m, 1)
+            for begin in range(0, len(rows), step := max(1, 1_000_000 // len(i))):
+                part = rows[begin : begin + step]
+                other = (i[None, :] != centre[begin : begin + step, None]) & (j[None, :] != centre[begin : begin + step, None])
+                later.append(np.unique(fitting(part[:, i][other], part[:, j][other]), axis=0))
+    for kind, found in ((RARE, first), (LATER, later)):
+        if found:
+            pairs = np.unique(np.concatenate(found), axis=0)
+            none = np.zeros(len(pairs))
+            yield _rows(names, np.full(len(pairs), kind, np.int8), pairs[:, 0].copy(), pairs[:, 1].copy(), none, none)
+
+
+def _rows(names: list[str], kind: np.ndarray, key: np.ndarray, entity: np.ndarray, n: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(key), pa.array(entity), pa.array(n.astype(np.int32)), pa.array(at.astype(np.int32))], names=names)
 
 
 # --- verification ------------------------------------------------------------
@@ -357,7 +376,9 @@ def jaccard_components(
     place = F.when(F.col("kind") == COMBINED, F.xxhash64("key", "id")).otherwise(F.col("key"))
     found = scratch.keep(keys.repartition(place).mapInArrow(partial(_rare_pairs, percent=percent), key_schema), "keys", narrow=True)
     near = found.where(F.col("kind") == RARE).select(F.col("key").alias("a"), F.col("id").alias("b"))
-    combined = found.where(F.col("kind") == COMBINED).select("key", "id", F.col("n").cast("long").alias("n"), F.col("at").cast("long").alias("r")).distinct()
+    later = found.where(F.col("kind") == LATER).select(F.col("key").alias("a"), F.col("id").alias("b")).distinct()
+    crowded = found.where(F.col("kind").isin(COMBINED, SHARED)).select("kind", "key", "id", F.col("n").cast("long").alias("n"), F.col("at").cast("long").alias("at")).distinct()
+    combined = crowded.where(F.col("kind") == COMBINED).select("key", "id", "n", F.col("at").alias("r"))
 
     def rare_fit(n_a: Column, r_a: Column, n_b: Column, r_b: Column) -> Column:
         need = _needed(n_a, n_b, percent)
@@ -379,16 +400,19 @@ def jaccard_components(
     links = verified(tested, texts, size, percent, scratch, "links1", bloom_bytes)
     roots = components(links, scratch, "roots1-")
 
-    # sets of one combined key that the centres did not connect
-    placed = combined.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    split = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    placed = placed.join(split, "key").join(entities.drop("n"), "id")
-    placed = scratch.keep(placed, "placed")
-    other = placed.select("key", *[F.col(x).alias(f"o_{x}") for x in ("id", "n", "r", "root", "s0", "s1", "s2", "s3")])
-    rest = placed.join(other, "key").where(
-        (c("id") < c("o_id")) & (c("root") != c("o_root")) & _sizes_fit(c("n"), c("o_n"), percent) & rare_fit(c("n"), c("r"), c("o_n"), c("o_r")) & _signs_fit("s", "o_s", c("n"), c("o_n"), percent)
-    )
-    rest = rest.select(F.col("id").alias("a"), F.col("o_id").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+    # sets of one key that its centre did not connect
+    placed = crowded.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    split = placed.groupBy("kind", "key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("kind", "key")
+    placed = placed.join(split, ["kind", "key"]).join(entities.drop("n"), "id")
+    placed = scratch.keep(placed, "placed", narrow=True)
+    other = placed.select("kind", "key", *[F.col(x).alias(f"o_{x}") for x in ("id", "n", "at", "root", "s0", "s1", "s2", "s3")])
+    place_fit = F.least(c("n") - c("at"), c("o_n") - c("o_at")) >= _needed(c("n"), c("o_n"), percent)
+    fit = F.when(c("kind") == COMBINED, rare_fit(c("n"), c("at"), c("o_n"), c("o_at"))).otherwise(place_fit)
+    rest = placed.join(other, ["kind", "key"]).where((c("id") < c("o_id")) & (c("root") != c("o_root")) & _sizes_fit(c("n"), c("o_n"), percent) & fit & _signs_fit("s", "o_s", c("n"), c("o_n"), percent))
+    for side in ("a", "b"):
+        later = later.join(roots.select(F.col("id").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
+    later = later.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    rest = rest.select(F.col("id").alias("a"), F.col("o_id").alias("b")).unionByName(signed(later)).distinct().join(tested, ["a", "b"], "left_anti")
     rest = scratch.keep(rest, "pairs2")
     more = verified(rest, texts, size, percent, scratch, "links2", bloom_bytes)
     if not more.isEmpty():
