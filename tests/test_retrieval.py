@@ -142,3 +142,36 @@ def test_metrics_by_kind(spark, chunks):
     assert (got["paraphrase"].hit, got["paraphrase"].answer_ok) == (0, 0)
     assert (got["out_of_scope"].gated, got["out_of_scope"].refused) == (1, 1)
     assert [r.question_id for r in evals.stale_evidence(asked, chunks).collect()] == [1]
+
+
+# --- modes and properties ----------------------------------------------------
+
+
+def test_retrieval_modes(spark, chunks):
+    from paperloom.plans.research import Library, retrieve
+
+    papers = spark.createDataFrame([("p", "t")], "paper_id string, title string")
+    plain = Library(papers, None, chunks.drop("vector"), I.build_index(chunks))
+    dense = Library(papers, None, chunks, I.build_index(chunks), chunks)
+    asked = questions(spark, ("p", "zzz", [0.9, 0.1, 0.0]))
+    assert retrieve(asked, plain).count() == 0  # auto without vectors is lexical
+    assert retrieve(asked, dense).count() == 3  # auto with vectors is hybrid
+    assert retrieve(asked, dense, Settings(retrieval_mode="tfidf")).count() == 0
+    with pytest.raises(ValueError):
+        retrieve(asked, plain, Settings(retrieval_mode="hybrid"))
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_packed_runs_hold_every_unit_in_order(seed):
+    import random
+
+    r = random.Random(seed)
+    units = [("w" * r.randint(1, 200) + str(i), i // 5, False) for i in range(r.randint(0, 60))]
+    size, overlap = r.choice([(800, 150), (100, 0), (50, 300), (10, 5)])
+    runs = chunking.pack_units(units, size, overlap)
+    first = [run[next((i for i, u in enumerate(run) if u not in seen), 0) :] for seen, run in zip([set().union(*[set(x) for x in runs[:i]]) for i in range(len(runs))], runs)]
+    assert [u for run in first for u in run] == units
+    for a, b in zip(runs, runs[1:]):
+        carried = [u for u in b if u in a]
+        assert a[len(a) - len(carried) :] == carried and sum(len(u[0]) + 1 for u in carried) <= max(overlap, 1) + 0
+        assert sum(len(u[0]) + 1 for u in a) + len(b[len(carried)][0]) > size
