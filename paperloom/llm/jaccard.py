@@ -385,6 +385,8 @@ def jaccard_components(
         return (F.least(n_a - r_a, n_b - r_b) >= need) & (n_a + n_b - 2 * need >= r_a + r_b)
 
     centres = combined.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("r", "id", "n")).alias("c")).where("m > 1").select("key", F.col("c.r").alias("cr"), F.col("c.id").alias("cid"), F.col("c.n").alias("cn"))
+    # written, so that Spark can split a large key on the other side of the join
+    centres = scratch.keep(centres, "centres", narrow=True)
     c = F.col
     star = combined.join(centres, "key").where((c("id") != c("cid")) & _sizes_fit(c("n"), c("cn"), percent) & rare_fit(c("n"), c("r"), c("cn"), c("cr")))
     star = star.select(F.least("id", "cid").alias("a"), F.greatest("id", "cid").alias("b"))
@@ -403,6 +405,7 @@ def jaccard_components(
     # sets of one key that its centre did not connect
     placed = crowded.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     split = placed.groupBy("kind", "key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("kind", "key")
+    split = scratch.keep(split, "split", narrow=True)
     placed = placed.join(split, ["kind", "key"]).join(entities.drop("n"), "id")
     placed = scratch.keep(placed, "placed", narrow=True)
     other = placed.select("kind", "key", *[F.col(x).alias(f"o_{x}") for x in ("id", "n", "at", "root", "s0", "s1", "s2", "s3")])
@@ -424,6 +427,6 @@ def jaccard_components(
     smallest = scratch.keep(classed.groupBy("__class").agg(F.min("least").alias("component")), "smallest", narrow=True)
     placed_in = classed.select("__set", "__class").join(smallest, "__class")
     out = documents.join(scratch.keep(placed_in, "placed_in", narrow=True), "__set", "left")
-    scratch.drop("keys", "pairs1", "pairs2", "placed", "classes", "smallest")
+    scratch.drop("keys", "centres", "pairs1", "pairs2", "split", "placed", "classes", "smallest")
     component = F.when(F.col("__class").isNull(), F.col("__id")).otherwise(F.col("component"))
     return out.select(*keep, "n_shingles", component.alias("component_id"), F.col("__class").alias("class_id"))
