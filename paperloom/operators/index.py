@@ -25,13 +25,15 @@ class Index:
 
 
 def term_frequencies(chunks: DataFrame, text: str = "text") -> DataFrame:
-    """paper_id, chunk_id, term and its count tf."""
-    return chunks.select("paper_id", "chunk_id", F.explode(tokens(F.col(text))).alias("term")).groupBy("paper_id", "chunk_id", "term").agg(F.count("*").alias("tf"))
+    """paper_id, chunk_id, term and its count tf; rows without an id are in no index."""
+    named = chunks.where(F.col("paper_id").isNotNull() & F.col("chunk_id").isNotNull())
+    return named.select("paper_id", "chunk_id", F.explode(tokens(F.col(text))).alias("term")).where(F.col("term").isNotNull()).groupBy("paper_id", "chunk_id", "term").agg(F.count("*").alias("tf"))
 
 
 def term_statistics(frequencies: DataFrame, chunks: DataFrame) -> DataFrame:
     """paper_id, term, df, n_chunks and idf = ln((n + 1) / (df + 1)) + 1."""
-    df = frequencies.groupBy("paper_id", "term").agg(F.count("*").alias("df"))
+    # counted by tf, so that both uses of the frequencies are one plan: texts are scanned and exchanged once
+    df = frequencies.groupBy("paper_id", "term").agg(F.count_if(F.col("tf") > 0).alias("df"))
     n = chunks.groupBy("paper_id").agg(F.count("*").alias("n_chunks"))  # one row a paper; Spark broadcasts it if it is small
     return df.join(n, "paper_id").withColumn("idf", F.log((F.col("n_chunks") + 1) / (F.col("df") + 1)) + 1)
 

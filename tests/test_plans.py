@@ -44,3 +44,11 @@ def test_only_gated_rows_reach_the_model(spark):
     text = plan(spark, "qa_answers")
     at = text.index("ArrowEvalPython")
     assert "isnotnull" in text[at:]
+
+
+def test_texts_are_tokenized_once(spark):
+    """Postings and document frequencies share the exchange of the term frequencies."""
+    df = catalog.QUERIES["tfidf_search"](spark, SF)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert len(re.findall("Generate explode", final)) == 2  # passages and questions
