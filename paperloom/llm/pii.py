@@ -2,22 +2,24 @@
 
 E-mail addresses, IP addresses, card and phone numbers are found by pattern; they
 are the protected entities.  A term can give an entity away without being one: the
-corpus tells how strongly.  For each entity that occurs in several texts, the terms
-around its places are counted; with n documents, n(e) holding the entity, n(t) the
-term and n(t, e) the term near the entity,
+corpus tells how strongly.  For each entity the terms around its places are
+counted; with n documents, n(e) holding the entity, n(t) the term and n(t, e)
+different texts with the term near the entity,
 
     PMI(t, e) = log(n n(t, e) / (n(t) n(e)))      IC(e) = log(n / n(e))
 
 A term whose PMI reaches ``generalise`` times IC discloses the entity and is
-generalised near it; from ``remove`` times IC on it is removed.
+generalised near it; from ``remove`` times IC on it is removed.  One text is enough
+to be judged: n(t) tells a rare name from a common word.
 
 Scale: contexts reach ``reach`` characters to both sides of a place, so the
 (entity, term) rows of a text are proportional to its places.  Entities, pairs and
 terms are aggregated before the shuffle; n(t) is counted over all documents, but only
 for terms that a bounded Bloom filter of the candidates lets pass (exact counts
 follow from a join).  Spans found for a text are joined back by its MD5, only to
-rows that hold an entity.  Support counts distinct texts, so that copies of one
-text give no support to each other.
+rows that hold an entity.  n(t, e) counts distinct texts, n(e) and n(t) rows, so
+that copies of one text give no support to each other: a text of c rows alone with
+its entity and a term of its own has the strength log(n / c^2) / log(n / c).
 
 Defined results: a null text counts as empty and has no spans.  Repeated rows get
 the same spans.  Empty tables give empty results.
@@ -56,7 +58,6 @@ _TERM = re.compile(r"[^\W\d_]{3,}")
 @dataclass(frozen=True)
 class Disclosure:
     reach: int = 100
-    support: int = 2
     generalise: float = 0.8
     remove: float = 0.95
 
@@ -194,10 +195,10 @@ def disclosing_terms(df: DataFrame, text: str = "text", limits: Disclosure = Dis
     contexts = texts.mapInArrow(partial(_context_rows, reach=limits.reach), "text_key binary, entity string, term string, start long, end long")
     # of copies of a text one is kept, with the number of its rows
     contexts = scratch.keep(contexts.groupBy("text_key", "entity", "term", "start", "end").agg(F.count("*").alias("copies")), "contexts")
-    entities = contexts.where(F.col("term").isNull()).groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count("*").alias("texts")).where(F.col("texts") >= limits.support)
+    entities = contexts.where(F.col("term").isNull()).groupBy("entity").agg(F.sum("copies").alias("n_e"))
     near = contexts.where(F.col("term").isNotNull())
-    pairs = near.groupBy("entity", "term", "text_key").agg(F.min("copies").alias("copies")).groupBy("entity", "term").agg(F.sum("copies").alias("n_te"), F.count("*").alias("texts")).where(F.col("texts") >= limits.support)
-    pairs = scratch.keep(pairs.drop("texts").join(entities.drop("texts"), "entity"), "pairs")
+    pairs = near.select("entity", "term", "text_key").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te"))
+    pairs = scratch.keep(pairs.join(entities, "entity"), "pairs")
     terms = pairs.select("term").distinct()
     n_terms = terms.count()
     if not n_terms:

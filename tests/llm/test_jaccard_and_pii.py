@@ -165,6 +165,19 @@ def test_disclosing_terms_are_found_near_their_entity(spark):
     assert all(got[400 + i].n_term == 0 for i in range(5))  # copies of one text support nothing
 
 
+def test_one_text_is_enough_to_disclose(spark):
+    df = people(spark)
+    lone = spark.createDataFrame([(500, "common sentences by zebulon who answers at lone@mail.example.net on common matters")], df.schema)
+    row = pii.personal_data(df.unionByName(lone), ["doc_id"]).where("doc_id = 500").first()
+    text = lone.first().text
+    terms = [text[int(a) : int(b)] for k, a, b in (s.split(":") for s in row.spans.split(",")) if k == "term"]
+    assert "zebulon" in terms and "common" not in terms and "matters" not in terms
+
+
+def test_query_marks_terms_on_a_given_table(spark):
+    assert queries.op9_personal_data(spark, SF).agg(F.sum("n_term")).first()[0] > 0
+
+
 def test_masking(spark):
     df = people(spark).withColumns({"n_email": F.lit(1), "terms": F.lit("clash"), "entity": F.lit("clash")})
     out = pii.sanitise(df)
