@@ -2,24 +2,28 @@
 
 E-mail addresses, IP addresses, card and phone numbers are found by pattern; they
 are the protected entities.  A term can give an entity away without being one: the
-corpus tells how strongly.  For each entity the terms around its places are
+corpus tells how strongly.  For each entity the other terms of its texts are
 counted; with n documents, n(e) holding the entity, n(t) the term and n(t, e)
-different texts with the term near the entity,
+different texts with both,
 
     PMI(t, e) = log(n n(t, e) / (n(t) n(e)))      IC(e) = log(n / n(e))
 
 A term whose PMI reaches ``generalise`` times IC discloses the entity and is
-generalised near it; from ``remove`` times IC on it is removed.  One text is enough
-to be judged: n(t) tells a rare name from a common word.
-
-Scale: contexts reach ``reach`` characters to both sides of a place, so the
-(entity, term) rows of a text are proportional to its places.  Entities, pairs and
-terms are aggregated before the shuffle; n(t) is counted over all documents, but only
-for terms that a bounded Bloom filter of the candidates lets pass (exact counts
-follow from a join).  Spans found for a text are joined back by its MD5, only to
-rows that hold an entity.  n(t, e) counts distinct texts, n(e) and n(t) rows, so
-that copies of one text give no support to each other: a text of c rows alone with
-its entity and a term of its own has the strength log(n / c^2) / log(n / c).
+generalised at all its places in the entity's texts; from ``remove`` times IC on it
+is removed.  One text is enough to be judged: n(t) tells a rare name from a common
+word.
+
+Scale: a text with an entity is kept once, with its distinct entities and the number
+of its rows.  Entities that stand in exactly the same texts are judged as one, so a
+list of addresses doesn't multiply its words.  Since n(t, e) is at most n(e), only
+terms with n(t) up to n(e)^g n^(1 - g) can disclose an entity (g is ``generalise``);
+others are dropped before they meet the entities, and this drops no disclosing term.
+n(t) is counted over all documents, but only for terms that a bounded Bloom filter of
+the candidates lets pass (exact counts follow from a join).  Spans found for a text
+are joined back by its MD5, only to rows that hold an entity.  n(t, e) counts distinct
+texts, n(e) and n(t) rows, so that copies of one text give no support to each other:
+a text of c rows alone with its entity and a term of its own has the strength
+log(n / c^2) / log(n / c).
 
 Defined results: a null text counts as empty and has no spans.  Repeated rows get
 the same spans.  Empty tables give empty results.
@@ -36,7 +40,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,7 +61,6 @@ _TERM = re.compile(r"[^\W\d_]{3,}")
 
 @dataclass(frozen=True)
 class Disclosure:
-    reach: int = 100
     generalise: float = 0.8
     remove: float = 0.95
 
@@ -109,20 +112,13 @@ def entity_of(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind in ('email', 'ip') else re.sub('[^0-9]', '', value)}"
 
 
-def context_terms(text: str, spans: list[tuple[str, int, int]], reach: int) -> Iterator[tuple[str, str, int, int]]:
-    """(entity, term, start, end) of the whole words near each place, outside of all places."""
+def context_terms(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(term, start, end) of the words outside of all places."""
     taken = sorted((a, b) for _, a, b in spans)
-    for kind, start, end in spans:
-        entity = entity_of(kind, text[start:end])
-        for low, high in ((max(0, start - reach), start), (end, min(len(text), end + reach))):
-            for m in _TERM.finditer(text, low, high):
-                a, b = m.span()
-                whole = (a == 0 or not _TERM_CHAR.match(text[a - 1])) and (b == len(text) or not _TERM_CHAR.match(text[b]))
-                if whole and not any(x < b and a < y for x, y in taken[_first_near(taken, a) :][:8]):
-                    yield entity, m[0].lower(), a, b
-
-
-_TERM_CHAR = re.compile(r"[^\W\d_]")
+    for m in _TERM.finditer(text):
+        a, b = m.span()
+        if not any(x < b and a < y for x, y in taken[_first_near(taken, a) :][:8]):
+            yield m[0].lower(), a, b
 
 
 def _first_near(taken: list[tuple[int, int]], at: int) -> int:
@@ -137,21 +133,43 @@ def _first_near(taken: list[tuple[int, int]], at: int) -> int:
     return low
 
 
-def _context_rows(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.RecordBatch]:
-    names = ["text_key", "entity", "term", "start", "end"]
-    kinds = [pa.binary(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+def _held_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text_key, text, entities) of the texts with an entity."""
     for batch in batches:
         for part in slices(batch, "__text"):
-            rows: list[tuple] = []
-            for text in strings(part, "__text"):
-                if spans := find_spans(text):
-                    key = text_key(text)
-                    near = list(context_terms(text, spans, reach))
-                    rows += [(key, *x) for x in near]
-                    # a place without terms still counts for its entity
-                    rows += [(key, e, None, None, None) for e in {entity_of(k, text[a:b]) for k, a, b in spans}]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+            texts = [(t, s) for t in strings(part, "__text") if (s := find_spans(t))]
+            if texts:
+                entities = [sorted({entity_of(k, t[a:b]) for k, a, b in s}) for t, s in texts]
+                columns = [pa.array([text_key(t) for t, _ in texts], pa.binary()), pa.array([t for t, _ in texts], pa.string()), pa.array(entities, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["text_key", "__text", "entities"])
+
+
+def _text_terms(batches: Iterator[pa.RecordBatch], shared=None) -> Iterator[pa.RecordBatch]:
+    """(text_key, term) of the distinct terms of each text, of those that the filter lets pass."""
+    for batch in batches:
+        for part in slices(batch, "__text"):
+            for key, text in zip(part.column("text_key").to_pylist(), strings(part, "__text"), strict=True):
+                terms = sorted({t for t, _, _ in context_terms(text, find_spans(text))})
+                if shared is not None and terms:
+                    hit = may_contain(shared.value, np.array([_term_id(t) for t in terms], np.uint64))
+                    terms = [t for t, h in zip(terms, hit.tolist(), strict=True) if h]
+                if terms:
+                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(terms), pa.binary()), pa.array(terms, pa.string())], names=["text_key", "term"])
+
+
+_PLACES = "array<struct<start:long,end:long,removed:boolean>>"
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text_key, terms): all places of each text's disclosing terms."""
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("removed", pa.bool_())]))
+    for batch in batches:
+        for part in slices(batch, "__text"):
+            found = []
+            for text, strong in zip(strings(part, "__text"), part.column("strong").to_pylist(), strict=True):
+                removed = {x["term"]: x["removed"] for x in strong}
+                found.append([{"start": a, "end": b, "removed": removed[t]} for t, a, b in context_terms(text, find_spans(text)) if t in removed])
+            yield pa.RecordBatch.from_arrays([part.column("text_key"), pa.array(found, kind)], names=["text_key", "terms"])
 
 
 def _term_id(term: str) -> int:
@@ -192,26 +210,50 @@ def disclosing_terms(df: DataFrame, text: str = "text", limits: Disclosure = Dis
     spark = df.sparkSession
     scratch = scratch or Scratch(spark, "pii")
     texts = df.select(F.col(text).alias("__text"))
-    contexts = texts.mapInArrow(partial(_context_rows, reach=limits.reach), "text_key binary, entity string, term string, start long, end long")
+    held = texts.mapInArrow(_held_rows, "text_key binary, __text string, entities array<string>")
     # of copies of a text one is kept, with the number of its rows
-    contexts = scratch.keep(contexts.groupBy("text_key", "entity", "term", "start", "end").agg(F.count("*").alias("copies")), "contexts")
-    entities = contexts.where(F.col("term").isNull()).groupBy("entity").agg(F.sum("copies").alias("n_e"))
-    near = contexts.where(F.col("term").isNotNull())
-    pairs = near.select("entity", "term", "text_key").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te"))
-    pairs = scratch.keep(pairs.join(entities, "entity"), "pairs")
-    terms = pairs.select("term").distinct()
+    held = scratch.keep(held.groupBy("text_key").agg(F.first("__text").alias("__text"), F.first("entities").alias("entities"), F.count("*").alias("copies")), "held")
+    total = float(df.count())
+    own = held.select("text_key", "copies", F.explode("entities").alias("entity"))
+    # the texts of an entity, by their number and 128 bits: entities with the same texts are one class
+    same = [F.bit_xor(F.xxhash64("text_key", F.lit(i))) for i in range(2)]
+    entities = own.groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count("*").alias("m"), *[x.alias(f"x{i}") for i, x in enumerate(same)])
+    entities = scratch.keep(entities.where(F.col("n_e") < total), "entities", narrow=True)
+    classes = scratch.keep(own.join(entities, "entity").select("text_key", "n_e", "m", "x0", "x1").distinct(), "classes", narrow=True)
+    most = classes.agg(F.max("n_e")).first()[0]
+    none = spark.createDataFrame([], f"text_key binary, terms {_PLACES}")
+    if most is None:
+        return none
+    pairs = "text_key binary, term string"
+    terms = scratch.keep(held.select("__text", "text_key").mapInArrow(_text_terms, pairs).select("term").distinct(), "words", narrow=True)
     n_terms = terms.count()
     if not n_terms:
-        return spark.createDataFrame([], "text_key binary, terms array<struct<start:long,end:long,removed:boolean>>")
+        return none
+
+    def ceiling(n_e: Column) -> Column:
+        """The most documents that a disclosing term of an entity can stand in (with room for rounding)."""
+        return F.pow(n_e, F.lit(limits.generalise)) * F.pow(F.lit(total), F.lit(1 - limits.generalise)) * (1 + 1e-9)
+
     bloom = spark.sparkContext.broadcast(build_bloom(terms.mapInArrow(_term_ids, "id long"), n_terms))
     counted = texts.mapInArrow(partial(_term_counts, shared=bloom), "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
-    total = float(df.count())
+    rare = scratch.keep(counted.where(F.col("n_t") <= ceiling(F.lit(most))), "rare", narrow=True)
+    n_rare = rare.count()
+    if not n_rare:
+        return none
+    passing = spark.sparkContext.broadcast(build_bloom(rare.select("term").mapInArrow(_term_ids, "id long"), n_rare))
+    near = held.select("__text", "text_key").mapInArrow(partial(_text_terms, shared=passing), pairs).join(rare, "term")
+    near = near.join(classes, "text_key").where(F.col("n_t") <= ceiling(F.col("n_e")))
+    near = scratch.keep(near, "near", narrow=True)
+    key = ["term", "m", "x0", "x1"]
     strength = F.log(F.lit(total) * F.col("n_te") / (F.col("n_t") * F.col("n_e"))) / F.log(F.lit(total) / F.col("n_e"))
-    strong = pairs.join(counted, "term").withColumn("strength", F.when(F.col("n_e") < total, strength)).where(F.col("strength") >= limits.generalise).select("entity", "term", (F.col("strength") >= limits.remove).alias("removed"))
-    spans = near.join(strong, ["entity", "term"]).groupBy("text_key", "start", "end").agg(F.max("removed").alias("removed"))
-    # a text's spans are at most its own words
-    found = scratch.keep(spans.groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "removed"))).alias("terms")), "terms")
-    scratch.drop("contexts", "pairs")
+    strong = near.groupBy(*key).agg(F.count("*").alias("n_te"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e")).withColumn("strength", strength)
+    strong = scratch.keep(strong.where(F.col("strength") >= limits.generalise).select(*key, (F.col("strength") >= limits.remove).alias("removed")), "strong", narrow=True)
+    marked = near.join(strong, key).groupBy("text_key", "term").agg(F.max("removed").alias("removed"))
+    # a text's terms are at most its own words
+    marked = marked.groupBy("text_key").agg(F.collect_list(F.struct("term", "removed")).alias("strong"))
+    found = held.select("text_key", "__text").join(marked, "text_key").mapInArrow(_places, f"text_key binary, terms {_PLACES}")
+    found = scratch.keep(found, "terms", narrow=True)
+    scratch.drop("held", "entities", "classes", "words", "rare", "near", "strong")
     return found
 
 

@@ -178,6 +178,14 @@ def test_query_marks_terms_on_a_given_table(spark):
     assert queries.op9_personal_data(spark, SF).agg(F.sum("n_term")).first()[0] > 0
 
 
+def test_terms_are_marked_all_over_the_texts_of_their_entity(spark):
+    df = people(spark)
+    text = "zebulon writes. " + "common matters " * 200 + "lone@mail.example.net " + "common matters " * 200 + "signed Zebulon"
+    row = pii.personal_data(df.unionByName(spark.createDataFrame([(500, text)], df.schema)), ["doc_id"]).where("doc_id = 500").first()
+    terms = [text[int(a) : int(b)] for k, a, b in (s.split(":") for s in row.spans.split(",")) if k == "term"]
+    assert "zebulon" in terms and "Zebulon" in terms and "common" not in terms
+
+
 def test_masking(spark):
     df = people(spark).withColumns({"n_email": F.lit(1), "terms": F.lit("clash"), "entity": F.lit("clash")})
     out = pii.sanitise(df)
