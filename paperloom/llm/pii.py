@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -114,23 +115,25 @@ def entity_of(kind: str, value: str) -> str:
 
 def context_terms(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
     """(term, start, end) of the words outside of all places."""
-    taken = sorted((a, b) for _, a, b in spans)
+    starts, ends = _covered(spans)
     for m in _TERM.finditer(text):
         a, b = m.span()
-        if not any(x < b and a < y for x, y in taken[_first_near(taken, a) :][:8]):
+        before = bisect_left(starts, b)  # of disjoint intervals the last that starts before the word's end reaches farthest
+        if not before or ends[before - 1] <= a:
             yield m[0].lower(), a, b
 
 
-def _first_near(taken: list[tuple[int, int]], at: int) -> int:
-    """The index before which places end well before ``at`` (they are sorted by start)."""
-    low, high = 0, len(taken)
-    while low < high:
-        mid = (low + high) // 2
-        if taken[mid][0] < at - 400:
-            low = mid + 1
+def _covered(spans: list[tuple[str, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the disjoint intervals that the places cover, in order."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
         else:
-            high = mid
-    return low
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
 
 
 def _held_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

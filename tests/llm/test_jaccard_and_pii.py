@@ -186,6 +186,12 @@ def test_terms_are_marked_all_over_the_texts_of_their_entity(spark):
     assert "zebulon" in terms and "Zebulon" in terms and "common" not in terms
 
 
+def test_words_inside_places_are_no_terms():
+    text = "contacts " + " ".join(f"surname{i:02d}@mail.example-{i:02d}.com" for i in range(40)) + " follow " + "a" * 600 + "-inside@mail.example.com end"
+    assert [t for t, _, _ in pii.context_terms(text, pii.find_spans(text))] == ["contacts", "follow", "end"]
+    assert [t for t, _, _ in pii.context_terms("abc def ghi", [("ip", 0, 9), ("card", 1, 3)])] == []
+
+
 def test_masking(spark):
     df = people(spark).withColumns({"n_email": F.lit(1), "terms": F.lit("clash"), "entity": F.lit("clash")})
     out = pii.sanitise(df)
