@@ -61,25 +61,18 @@ class _Sizes:
         return bound + (above & -above).bit_length() - 1 if above else -1
 
 
-def best_length(size: int, rest: _Sizes, lengths: tuple[int, ...], overhead: int, steps: int = 32) -> int:
+def best_length(size: int, rest: _Sizes, lengths: tuple[int, ...], overhead: int) -> int:
     """The permitted length of the least cost per token, for a bin that begins with ``size``."""
     best, least = 0, math.inf
     for length in lengths:
         if length < size:
             continue
-        filled, used = size, {}
-        for _ in range(steps):
-            bound = length - filled
-            while bound > 0:
-                x = rest.most(bound)
-                if not x or used.get(x, 0) < rest.counts[x]:
-                    break
-                bound = x - 1
-            if bound <= 0 or not x:
-                break
-            used[x] = used.get(x, 0) + 1
-            filled += x
-        cost = (length + overhead) / filled
+        room = bound = length - size
+        # all copies of a size at once: the steps are as many as the distinct sizes taken, whose sum the length bounds
+        while bound > 0 and (x := rest.most(bound)):
+            room -= x * min(rest.counts[x], room // x)
+            bound = min(room, x - 1)
+        cost = (length + overhead) / (length - room)
         if cost < least:
             best, least = length, cost
     return best

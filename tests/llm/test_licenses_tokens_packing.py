@@ -167,6 +167,24 @@ def test_lengths_are_weighed_against_each_other():
     assert P.pack([4, 4], (4, 8), 0)[2] == [4, 4]
 
 
+def test_look_ahead_fills_the_whole_trial_bin():
+    assert P.pack([16] * 512)[2] == [8192]
+    r = random.Random(3)
+    for _ in range(50):
+        sizes = [r.randint(1, 40) for _ in range(400)]
+        rest = P._Sizes()
+        for x in sizes:
+            rest.add(x)
+
+        def cost(length, first=50, sizes=sizes):
+            filled = first
+            for x in sorted(sizes, reverse=True):
+                filled += x * (filled + x <= length)
+            return (length + P.OVERHEAD) / filled
+
+        assert P.best_length(50, rest, P.LENGTHS, P.OVERHEAD) == min(P.LENGTHS, key=cost)
+
+
 def test_documents_are_packed_whole(spark):
     sizes = [0, None, 1, 5, 512, 513, 8192, 8193, 30_000] + [100] * 300
     df = spark.createDataFrame([(i, s, "x") for i, s in enumerate(sizes)] + [(3, 5, "x")], "doc_id long, n int, bin_id string")
