@@ -1,47 +1,53 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
-Each source gets a target number of words; a document's expected number of
-copies is target / source size.  A document larger than its source's whole target
-cannot be part of a mix that meets it; such documents are left out if the others can
-reach the target with ``most`` copies at most, and the others' expected copies rise.
-The integral part of the expected copies is taken at once.  The
-fractional parts are rounded in pairs: two documents of a source exchange word
-mass, in a random direction that keeps both expectations, until one of them is
-integral.  The exchange keeps the pair's words constant, so a source misses its
-target only by the last fraction, less than one document.
-
-Documents are dealt by content hash into buckets of bounded size (their number
-follows the table, not the cluster).  A bucket leaves at most one fractional
-document per source; those residuals are combined through a reduction tree of
-``fan_in`` until each source has one at most, which is rounded to the nearer side.  A
-hot source is spread over all buckets.
+Each source gets a target number of words; every document's expected number of copies
+is target / source size, whatever its length.  The integral part is taken at once.  The
+fractional parts are rounded in pairs: two documents of a source exchange word mass, in
+a random direction that keeps both expectations, until one of them is integral.  The
+exchange keeps the pair's words constant, so that only a source's last fraction, which
+is drawn, moves it off its target.  A repair then changes a few decided documents by one
+copy: a few large steps, then the best subset of at most ``choices`` others, spread over
+its sizes; of several such tries the one that ends nearest to the target (a source of no
+more documents: the best subset of all).
+
+Rows that are equal in everything are counted and dealt in chunks, so that neither a hot
+source nor a row that is repeated a million times fills a bucket.  Buckets hold about
+``bucket_rows`` rows (their number follows the table, not the cluster) and are rounded
+one at a time.  A bucket leaves at most one fractional document per source; those
+residuals are combined through a reduction tree of ``fan_in``, dealt by group and source.
 Random draws are hashes of a seed and the documents' keys, so reruns agree.
 
 Only one row per source (its size) reaches the driver: sources are the mix's
-configuration, at most ``max_sources`` of them.
+configuration, at most ``max_sources`` of them; more are refused.
 
-Defined results: a null or blank text has size 0 and takes 0 words; null is a
-source of its own, last in order; repeated rows are rounded each on its own; an
-empty table gives an empty result.  Columns of the input other than those asked
-for with ``keep`` are not carried.
+Defined results: a null or blank text has size 0 and takes 0 words; null is a source of
+its own, last in order; repeated rows are rounded each on its own; ties are settled by
+64-bit hashes of the rows; a very long text is one document as any other; an empty table
+gives an empty result.  Columns of the input other than those asked for with ``keep``
+(which must be comparable) are not carried, so clashing names do no harm.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from paperloom.llm._shared import Scratch
 from paperloom.llm._words import Words, mix64, slices, strings
 
 WEIGHTS = (5, 2, 1)
 _SEED = 0x51ED2701
+#: Fractions nearer to 0 or 1 are integral.
+_ZERO = 1e-9
+#: Equal rows that are dealt together.
+_CHUNK = 500
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, most: int = 3) -> dict[str | None, float]:
@@ -63,41 +69,64 @@ def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, mo
     return found
 
 
-def _draw(a: int, b: int, level: int) -> float:
-    x = np.array([(a ^ (b * 3) ^ (level * 0x9E3779B9) ^ _SEED) & (2**64 - 1)], dtype=np.uint64)
-    return float(mix64(x)[0] >> np.uint64(11)) / 2.0**53
+def _draws(level: int, *parts: np.ndarray) -> np.ndarray:
+    """A number from 0 to 1 for each item, by a hash of its key, chunk and place in the chunk."""
+    x = np.full(len(parts[0]), _SEED + level, np.uint64)
+    for part in parts:
+        x = mix64(x ^ mix64(part.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)))
+    return (x >> np.uint64(11)) / 2.0**53
 
 
-def round_pairs(items: list[tuple], level: int) -> tuple[list[tuple[int, int]], tuple[int, float] | None]:
-    """Rounds (key, size, fraction) items one after another.
+def round_pairs(sizes: list[int], parts: list[float], draws: list[float]) -> tuple[list[int], int, float]:
+    """Rounds the fractions of items, each with its word mass, one after another.
 
-    Returns the (index, 0 or 1) decisions, and the index and fraction of the
-    item that is left, if any.
+    Returns each item's decision (0 or 1), and the index and fraction of the item that
+    is left undecided (-1 if none is).
     """
-    done: list[tuple[int, int]] = []
-    held: tuple[int, float] | None = None
-    for i, (key, size, p) in enumerate(items):
-        if p <= 0.0 or p >= 1.0 or size == 0:
-            done.append((i, int(p >= 0.5) if size else 0))
+    taken = [0] * len(sizes)
+    held, q = -1, 0.0
+    for i, (size, p) in enumerate(zip(sizes, parts, strict=True)):
+        if size == 0 or p < _ZERO or p > 1.0 - _ZERO:
+            taken[i] = int(size > 0 and p > 0.5)
             continue
-        if held is None:
-            held = (i, p)
+        if held < 0:
+            held, q = i, p
             continue
-        j, q = held
-        other, other_size, _ = items[j]
-        # words that i can gain and j give, and the reverse
-        up = min((1.0 - p) * size, q * other_size)
-        down = min(p * size, (1.0 - q) * other_size)
-        words = up if _draw(key, other, level) * (up + down) < down else -down
-        p, q = p + words / size, q - words / other_size
-        fractions = []
-        for index, fraction in ((i, p), (j, q)):
-            if fraction < 1e-9 or fraction > 1.0 - 1e-9:
-                done.append((index, int(fraction > 0.5)))
-            else:
-                fractions.append((index, fraction))
-        held = fractions[0] if fractions else None
-    return done, held
+        other = sizes[held]
+        # words that i can gain and the held item give, and the reverse
+        up, down = min((1.0 - p) * size, q * other), min(p * size, (1.0 - q) * other)
+        words = up if draws[i] * (up + down) < down else -down
+        p, q = p + words / size, q - words / other
+        left = [(j, x) for j, x in ((i, p), (held, q)) if _ZERO <= x <= 1.0 - _ZERO]
+        for j, x in ((i, p), (held, q)):
+            taken[j] = int(x > 1.0 - _ZERO)
+        held, q = left[0] if left else (-1, 0.0)
+    return taken, held, q
+
+
+def nearest_subset(wanted: float, values: list[int]) -> list[int]:
+    """Indices of the values whose sum comes nearest to ``wanted``; the fewest of those that come equally near."""
+    half = len(values) // 2
+
+    def sums(part: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        total, used = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        for v in part:
+            total, used = np.concatenate([total, total + v]), np.concatenate([used, used + 1])
+        return total, used
+
+    left, left_used = sums(values[:half])
+    right, right_used = sums(values[half:])
+    order = np.lexsort((right_used, right))
+    order = order[np.concatenate([[True], np.diff(right[order]) != 0])]
+    place = np.searchsorted(right[order], wanted - left)
+    best = (np.inf, 0, 0, 0)
+    for at in (np.clip(place - 1, 0, len(order) - 1), np.clip(place, 0, len(order) - 1)):
+        apart = np.round(np.abs(wanted - left - right[order[at]]), 6)
+        used = left_used + right_used[order[at]]
+        i = int(np.lexsort((used, apart))[0])
+        best = min(best, (float(apart[i]), int(used[i]), i, int(order[at[i]])))
+    mask = best[2] | best[3] << half
+    return [i for i in range(len(values)) if mask >> i & 1]
 
 
 def with_sizes(df: DataFrame, keep: list[str], text: str = "text", source: str = "source") -> DataFrame:
@@ -113,8 +142,78 @@ def with_sizes(df: DataFrame, keep: list[str], text: str = "text", source: str =
     return rows.mapInArrow(sized, rows.drop("__text").schema.add("size", "long", False))
 
 
+def dealt(rows: DataFrame, key: str, chunk: Column, groups: int) -> DataFrame:
+    """Equal rows counted (``__n``) in chunks of at most ``chunk`` rows, numbered and each dealt to a ``__group``."""
+    counted = rows.groupBy(*rows.columns).agg(F.count("*").alias("__n")).withColumn("__most", chunk.cast("long"))
+    cut = counted.withColumn("__chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / F.col("__most")).cast("long"))))
+    rest = F.col("__n") - F.col("__chunk") * F.col("__most")
+    return cut.withColumns({"__n": F.least("__most", rest), "__group": F.pmod(F.xxhash64(key, "__chunk"), F.lit(groups))}).drop("__most")
+
+
+def _round_group(table: pa.Table, level: int, fan_in: int, last: bool) -> pa.Table:
+    """Rounds the fractions of one bucket, source by source; rows of several copies fall apart by their decisions."""
+    n = table["__n"].to_numpy()
+    row = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    key, chunk, size, part = (table[c].to_numpy()[row] for c in ("__key", "__chunk", "size", "__part"))
+    source = pc.dictionary_encode(table["__source"].combine_chunks(), null_encoding="encode").indices.to_numpy()[row]
+    draws = _draws(level, key, chunk, place)
+    order = np.lexsort((place, chunk, key, -size, source))  # large ones first, while there are partners with as many words
+    up, open_ = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+    fraction = np.zeros(len(n))
+    for own in np.split(order, np.flatnonzero(np.diff(source[order])) + 1):
+        taken, held, rest = round_pairs(size[own].tolist(), part[own].tolist(), draws[own].tolist())
+        np.add.at(up, row[own], taken)
+        if held >= 0 and last:
+            up[row[own[held]]] += draws[own[held]] < rest
+        elif held >= 0:
+            open_[row[own[held]]], fraction[row[own[held]]] = 1, rest
+    whole, group, none = table["__whole"].to_numpy(), table["__group"].to_numpy(), np.full(len(n), -1)
+    parts = []
+    for count, copies, left, to in ((n - up - open_, whole, np.zeros(len(n)), none), (up, whole + 1, np.zeros(len(n)), none), (open_, whole, fraction, group // fan_in)):
+        some = np.flatnonzero(count)
+        new = {"__n": count, "__whole": copies, "__part": left, "__group": to, "__level": np.full(len(n), level)}
+        rows = table.take(pa.array(some))
+        for name, values in new.items():
+            rows = rows.set_column(rows.schema.get_field_index(name), name, pa.array(values[some].astype(values.dtype if name == "__part" else np.int64)))
+        parts.append(rows)
+    return pa.concat_tables(parts)
+
+
+def _rounded(columns: list[str], level: int, fan_in: int, last: bool) -> Callable[[pa.Table], pa.Table]:
+    def run(table: pa.Table) -> pa.Table:
+        return _round_group(table.select(columns), level, fan_in, last)
+
+    return run
+
+
+def _repairs(table: pa.Table, choices: int) -> pa.Table:
+    """Of one source's documents offered for repair, those whose change by one copy brings the source nearest to its target."""
+    size, up = table["size"].to_numpy(), table["__up"].to_numpy(zero_copy_only=False)
+    order = np.lexsort((table["__level"].to_numpy(), table["__chunk"].to_numpy(), table["__key"].to_numpy(), size))
+    gain = np.where(up, -size, size)[order]  # words that the change of a document brings
+    off = float(table["__off"][0].as_py())
+    best: tuple[float, int, list[int]] | None = None
+    # large steps of at least this share of what is left, then the best subset; without choice, the best subset of all
+    for share in (1.5, 0.5, 0.125, 0.0) if len(order) > choices else (1.5,):
+        found, rest = [], off
+        for i in range(len(order) - 1, -1, -1):
+            if gain[i] * rest > 0 and share * abs(rest) <= abs(gain[i]) <= abs(rest):
+                found.append(i)
+                rest -= gain[i]
+        others = np.setdiff1d(np.arange(len(order)), found)
+        if len(others) > choices:  # spread over the sizes, of both directions
+            more, less = others[gain[others] > 0], others[gain[others] < 0]
+            n = min(len(more), max(choices // 2, choices - len(less)))
+            others = np.concatenate([part[np.arange(m) * len(part) // m] for part, m in ((more, n), (less, choices - n)) if m])
+        found += others[nearest_subset(rest, gain[others].tolist())].tolist()
+        tried = (round(abs(off - float(gain[np.array(found, np.int64)].sum())), 6), len(found), found)
+        best = min(best, tried) if best else tried
+    return table.take(pa.array(order[np.array(best[2], np.int64)], pa.int64())).select(["__key", "__chunk", "__level", "__whole", "__up"])
+
+
 def mix(
-    df: DataFrame, keep: list[str], text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = 3, bucket_rows: int = 50_000, fan_in: int = 64, max_sources: int = 100_000
+    df: DataFrame, keep: list[str], text: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = 3, bucket_rows: int = 20_000, fan_in: int = 64, max_sources: int = 100_000, choices: int = 24
 ) -> DataFrame:
     """The ``keep`` columns of every row with size, source_size, target, copies and taken words."""
     spark = df.sparkSession
@@ -126,74 +225,42 @@ def mix(
         raise ValueError(f"more than {max_sources} sources")
     sizes = {r["__source"]: r["size"] for r in found}
     target = targets(sizes, weights, most)
-    known = spark.createDataFrame([(s, int(sizes[s]), float(target[s])) for s in sizes], "s string, source_size long, target double")
+    known = spark.createDataFrame([(s, int(n), float(target[s]), target[s] / n if n else 0.0) for s, n in sizes.items()], "s string, source_size long, target double, ratio double")
     same = F.col("__source").eqNullSafe(F.col("s"))
-    large = sized.join(F.broadcast(known), same).where(F.col("size") > F.col("target")).groupBy("__source").agg(F.sum("size").alias("size"))
-    limit, ratio = dict(target), {}
-    above = {r["__source"]: r["size"] for r in large.collect()}  # max_sources rows at most, as before
-    for s, size in sizes.items():
-        rest = size - above.get(s, 0)
-        if not 0 < target[s] <= most * rest:
-            rest, limit[s] = size, float("inf")
-        ratio[s] = target[s] / rest if rest else 0.0
-    n_buckets = max(1, math.ceil(sum(r["rows"] for r in found) / bucket_rows))
-    plan = spark.sparkContext.broadcast({s: (ratio[s], limit[s]) for s in sizes})  # at most max_sources entries
-
-    carried = sized.select(*keep).schema
-    state = T.StructType([*carried.fields]).add("__source", "string").add("__key", "long").add("size", "long")
-    out = T.StructType([*state.fields]).add("__whole", "long").add("__part", "double").add("__group", "long")
-    names = out.fieldNames()
-
-    def reduce_level(level: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = list(batches)
-            if not sum(b.num_rows for b in held):
-                return
-            table = pa.Table.from_batches(held)
-            keys, size = table["__key"].to_numpy(), table["size"].to_numpy()
-            group, sources = table["__group"].to_numpy(), table["__source"].to_pylist()
-            if level:
-                whole, part = table["__whole"].to_numpy().copy(), table["__part"].to_numpy().copy()
-            else:
-                expected = np.array([plan.value[s][0] for s in sources])
-                expected[size > np.array([plan.value[s][1] for s in sources])] = 0.0
-                near = np.rint(expected)
-                expected = np.where(np.abs(expected - near) < 1e-12, near, expected)
-                whole = np.floor(expected).astype(np.int64)
-                part = expected - whole
-            code = {s: i for i, s in enumerate(sorted(set(sources), key=lambda s: (s is None, s or "")))}
-            source_code = np.array([code[s] for s in sources])
-            order = np.lexsort((keys, -size, source_code, group))  # large first: what is left over is small
-            cuts = np.flatnonzero((np.diff(group[order]) != 0) | (np.diff(source_code[order]) != 0)) + 1
-            open_ = np.zeros(len(keys), bool)
-            for run_of in np.split(order, cuts):
-                done, left = round_pairs(list(zip(keys[run_of].tolist(), size[run_of].tolist(), part[run_of].tolist(), strict=True)), level)
-                for i, copies in done:
-                    whole[run_of[i]] += copies
-                    part[run_of[i]] = 0.0
-                if left:
-                    part[run_of[left[0]]] = left[1]
-                    open_[run_of[left[0]]] = True
-            columns = [table[c] for c in state.fieldNames()] + [pa.chunked_array([whole]), pa.chunked_array([part]), pa.chunked_array([np.where(open_, group // fan_in, -1)])]
-            yield from pa.Table.from_arrays(columns, names=names).combine_chunks().to_batches()
-
-        return run
-
-    level, groups = 0, n_buckets
-    current = sized.withColumn("__group", F.pmod("__key", F.lit(n_buckets)))
-    decided = None
+    groups = max(1, math.ceil(sum(r["rows"] for r in found) / bucket_rows))
+    shards = max(1, math.ceil(len(found) / 256))
+
+    near = F.rint("ratio")  # a ratio that is whole but for its last digits is whole
+    ratio = F.when(F.abs(F.col("ratio") - near) < 1e-12, near).otherwise(F.col("ratio"))
+    start = dealt(sized, "__key", F.lit(_CHUNK), groups).join(F.broadcast(known), same)  # bounded by max_sources
+    start = start.withColumns({"__whole": F.floor(ratio).cast("long"), "__part": ratio - F.floor(ratio), "__level": F.lit(0).cast("long"), "__shard": F.lit(0).cast("long")})
+    columns = [*keep, "__source", "__key", "size", "__chunk", "__n", "__level", "__whole", "__part", "__group"]
+    schema = start.select(*columns).schema
+    current, level, decided = start, 0, []
     while True:
-        # a bucket is whole in one task; its rows are bounded by bucket_rows, or by fan_in residuals of each source
-        dealt = current.repartition(min(groups, 4096) if level == 0 else max(1, min(groups, 64)), "__group")
-        step = scratch.keep(dealt.mapInArrow(reduce_level(level), out), f"level{level}", narrow=True)
-        closed = step.where(F.col("__group") < 0)
-        decided = closed if decided is None else decided.unionByName(closed)
+        # a task holds one group at a time
+        step = current.select(*columns, "__shard").groupBy("__group", "__shard").applyInArrow(_rounded(columns, level, fan_in, groups == 1), schema)
+        step = scratch.keep(step, f"level{level}", narrow=True)
+        decided.append(step.where(F.col("__group") < 0))
         if groups == 1:
             break
-        current, groups, level = step.where(F.col("__group") >= 0), math.ceil(groups / fan_in), level + 1
-    # the root's residual, one of each source at most, goes to the nearer side
-    last = step.where(F.col("__group") >= 0)
-    decided = decided.unionByName(last.withColumn("__whole", F.col("__whole") + (F.col("__part") >= 0.5).cast("long")))
+        current = step.where(F.col("__group") >= 0).withColumn("__shard", F.pmod(F.xxhash64("__source"), F.lit(shards)))
+        groups, level = math.ceil(groups / fan_in), level + 1
+    rounded = reduce(DataFrame.unionByName, decided).drop("__part", "__group").join(F.broadcast(known), same)
+    rounded = rounded.withColumn("__up", F.col("__whole") > F.floor(ratio))
     scratch.drop("sized")
-    joined = decided.join(F.broadcast(known), same, "left")  # bounded by max_sources
-    return joined.select(*keep, "size", "source_size", "target", F.col("__whole").alias("copies"), (F.col("__whole") * F.col("size")).alias("taken"))
+
+    # documents offered for repair: some of each source, decision and class of sizes, chosen by hash
+    off = rounded.groupBy("s").agg((F.first("target") - F.sum(F.col("__n") * F.col("__whole") * F.col("size"))).alias("__off")).where(F.abs("__off") > 0.5)
+    off = scratch.keep(off, "off", narrow=True)
+    lane = F.pmod(F.xxhash64("__key", "__chunk", "__level"), F.lit(64))
+    row = F.struct(F.xxhash64("__chunk", "__key").alias("h"), "__key", "__chunk", "__level", "__whole", "size")
+    offered = rounded.where((F.col("size") > 0) & (ratio != F.floor(ratio))).groupBy("s", "__up", F.floor(F.log2("size")).alias("c"), lane.alias("l")).agg(F.min(row).alias("r"))
+    offered = offered.select("s", "__up", "r.*").join(off.withColumnRenamed("s", "o"), F.col("s").eqNullSafe(F.col("o")))
+    repairs = offered.groupBy("s").applyInArrow(lambda t: _repairs(t, choices), "__key long, __chunk long, __level long, __whole long, __up boolean")
+    repairs = scratch.keep(repairs.withColumnRenamed("__up", "__down"), "repairs", narrow=True)  # at most the rows offered
+    changed = rounded.join(repairs, ["__key", "__chunk", "__level", "__whole"], "left")
+    one = F.when(F.col("__down"), F.col("__whole") - 1).otherwise(F.col("__whole") + 1)
+    plain, fixed = F.col("__n").cast("int"), F.col("__down").isNotNull().cast("int")
+    copies = F.explode(F.concat(F.array_repeat("__whole", plain - fixed), F.array_repeat(one, fixed)))
+    return changed.select(*keep, "size", "source_size", "target", copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
