@@ -6,16 +6,19 @@ import tempfile
 import uuid
 from typing import ClassVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; where it is unset (tests), a folder of our own."""
+    """The cluster's spark.checkpoint.dir; where it is unset, a folder of our own, but on one machine only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             folder = held.get()
+        elif not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         else:
             folder = "file://" + tempfile.mkdtemp(prefix="paperloom-")
             spark.sparkContext.setCheckpointDir(folder)
@@ -78,3 +81,11 @@ class Scratch:
 def _delete(spark: SparkSession, folder: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def dealt(rows: DataFrame, key: str, chunk: Column, groups: int) -> DataFrame:
+    """Equal rows counted (``__n``) in chunks of at most ``chunk`` rows, numbered and each dealt to a ``__group``."""
+    counted = rows.groupBy(*rows.columns).agg(F.count("*").alias("__n")).withColumn("__most", chunk.cast("long"))
+    cut = counted.withColumn("__chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / F.col("__most")).cast("long"))))
+    rest = F.col("__n") - F.col("__chunk") * F.col("__most")
+    return cut.withColumns({"__n": F.least("__most", rest), "__group": F.pmod(F.xxhash64(key, "__chunk"), F.lit(groups))}).drop("__most")

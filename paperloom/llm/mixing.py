@@ -36,10 +36,10 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm._shared import Scratch
+from paperloom.llm._shared import Scratch, dealt
 from paperloom.llm._words import Words, mix64, slices, strings
 
 WEIGHTS = (5, 2, 1)
@@ -142,14 +142,6 @@ def with_sizes(df: DataFrame, keep: list[str], text: str = "text", source: str =
     return rows.mapInArrow(sized, rows.drop("__text").schema.add("size", "long", False))
 
 
-def dealt(rows: DataFrame, key: str, chunk: Column, groups: int) -> DataFrame:
-    """Equal rows counted (``__n``) in chunks of at most ``chunk`` rows, numbered and each dealt to a ``__group``."""
-    counted = rows.groupBy(*rows.columns).agg(F.count("*").alias("__n")).withColumn("__most", chunk.cast("long"))
-    cut = counted.withColumn("__chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__n") - 1) / F.col("__most")).cast("long"))))
-    rest = F.col("__n") - F.col("__chunk") * F.col("__most")
-    return cut.withColumns({"__n": F.least("__most", rest), "__group": F.pmod(F.xxhash64(key, "__chunk"), F.lit(groups))}).drop("__most")
-
-
 def _round_group(table: pa.Table, level: int, fan_in: int, last: bool) -> pa.Table:
     """Rounds the fractions of one bucket, source by source; rows of several copies fall apart by their decisions."""
     n = table["__n"].to_numpy()

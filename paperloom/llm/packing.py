@@ -7,27 +7,29 @@ weighed against each other each time).  Finally every bin is cut down to the
 smallest permitted length that holds its contents.  A document longer than the
 largest length is first cut into pieces of that length and a rest.
 
-Scale: rows are dealt by hash into groups of bounded size (their number follows the
-table, not the cluster); a group is packed in one task and leaves a few bins partly
-filled, out of thousands.
+Scale: rows are dealt by hash into groups of about ``group_rows`` pieces (their number
+follows the table, not the cluster); equal rows are counted first and dealt in chunks, so
+that a row that is repeated a million times fills no group.  A task packs one group at a
+time, which leaves a few bins partly filled, out of thousands.
 
 Defined results: documents of size 0 (null or empty texts) need no bin and get none:
-one row, piece 0, with a null bin.  Repeated rows are items each.  An empty table
-gives an empty result.  Columns other than ``keep`` are not carried.
+one row, piece 0, with a null bin.  Repeated rows are items each; ties of size are settled
+by 64-bit hashes of the rows.  A very long text is cut into pieces; all pieces of one
+document meet in one group (at most some 260,000, as Spark's strings end at 2 GB).  An
+empty table gives an empty result.  Columns other than ``keep`` (which must be
+comparable) are not carried, so clashing names do no harm.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm._shared import Scratch
+from paperloom.llm._shared import Scratch, dealt
 
 LENGTHS = (512, 1024, 2048, 4096, 8192)
 #: What a sequence costs beside its length.
@@ -110,37 +112,32 @@ def pack(sizes: list[int], lengths: tuple[int, ...] = LENGTHS, overhead: int = O
 _OUT = "piece long, start long, size long, bin_id long, bin_offset long, bin_length long"
 
 
-def _packed(batches: Iterator[pa.RecordBatch], n_keep: int, lengths: tuple[int, ...], overhead: int) -> Iterator[pa.RecordBatch]:
-    held = [b for b in batches if b.num_rows]
-    if not held:
-        return
-    table = pa.Table.from_batches(held)
-    keep = table.select(table.column_names[:n_keep])
-    size, key, group = (table[c].to_numpy() for c in ("__size", "__key", "__group"))
-    for g in np.unique(group):
-        rows = np.flatnonzero(group == g)
-        rows = rows[np.lexsort((key[rows], -size[rows]))]
-        largest = lengths[-1]
-        pieces = np.maximum(1, -(-size[rows] // largest))
-        item_row = np.repeat(rows, pieces)
-        piece = np.arange(len(item_row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        item_size = np.minimum(largest, size[item_row] - piece * largest)
-        order = np.argsort(-item_size, kind="stable")
-        item_row, piece, item_size = item_row[order], piece[order], item_size[order]
-        n = int((item_size > 0).sum())
-        of, offset, final = pack(item_size[:n].tolist(), lengths, overhead)
-        none = np.arange(len(item_row)) >= n
-        of_all = np.concatenate([np.array(of, np.int64), np.zeros(len(item_row) - n, np.int64)])
-        columns = [
-            pa.array(piece),
-            pa.array(piece * largest),
-            pa.array(item_size),
-            pa.array((int(g) << 32) + of_all, mask=none),
-            pa.array(np.concatenate([np.array(offset, np.int64), np.zeros(len(item_row) - n, np.int64)]), mask=none),
-            pa.array(np.array(final, np.int64)[of_all] if final else of_all, mask=none),
-        ]
-        out = pa.Table.from_arrays([*keep.take(pa.array(item_row)).columns, *(pa.chunked_array([c]) for c in columns)], names=[*keep.column_names, "piece", "start", "size", "bin_id", "bin_offset", "bin_length"])
-        yield from out.combine_chunks().to_batches(max_chunksize=10_000)
+def _packed(table: pa.Table, keep: list[str], lengths: tuple[int, ...], overhead: int) -> pa.Table:
+    """The pieces of one group."""
+    size, key, chunk, n = (table[c].to_numpy() for c in ("__size", "__key", "__chunk", "__n"))
+    group, largest = table["__group"][0].as_py(), lengths[-1]
+    rows = np.lexsort((chunk, key, -size))
+    rows = np.repeat(rows, n[rows])
+    pieces = np.maximum(1, -(-size[rows] // largest))
+    item_row = np.repeat(rows, pieces)
+    piece = np.arange(len(item_row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    item_size = np.minimum(largest, size[item_row] - piece * largest)
+    order = np.argsort(-item_size, kind="stable")
+    item_row, piece, item_size = item_row[order], piece[order], item_size[order]
+    filled = int((item_size > 0).sum())
+    of, offset, final = pack(item_size[:filled].tolist(), lengths, overhead)
+    none = np.arange(len(item_row)) >= filled
+    of_all = np.concatenate([np.array(of, np.int64), np.zeros(len(item_row) - filled, np.int64)])
+    columns = [
+        pa.array(piece),
+        pa.array(piece * largest),
+        pa.array(item_size),
+        pa.array((group << 32) + of_all, mask=none),
+        pa.array(np.concatenate([np.array(offset, np.int64), np.zeros(len(item_row) - filled, np.int64)]), mask=none),
+        pa.array(np.array(final, np.int64)[of_all] if final else of_all, mask=none),
+    ]
+    kept = table.select(keep).take(pa.array(item_row))
+    return pa.Table.from_arrays([*kept.columns, *(pa.chunked_array([c]) for c in columns)], names=[*keep, "piece", "start", "size", "bin_id", "bin_offset", "bin_length"])
 
 
 def pack_documents(df: DataFrame, keep: list[str], size: str, lengths: tuple[int, ...] = LENGTHS, overhead: int = OVERHEAD, group_rows: int = 20_000) -> DataFrame:
@@ -149,13 +146,17 @@ def pack_documents(df: DataFrame, keep: list[str], size: str, lengths: tuple[int
     scratch = Scratch(df.sparkSession, "packing")
     rows = df.select(*keep, F.coalesce(F.col(size), F.lit(0)).cast("long").alias("__size"), F.xxhash64(*keep, size).alias("__key"))
     rows = scratch.keep(rows, "sizes", narrow=True)  # sizes may come from a costly scan
-    largest = lengths[-1]
     # groups are bounded by pieces, as one document can have very many
-    n = rows.agg(F.sum(F.greatest(F.lit(1), F.ceil(F.col("__size") / largest)))).first()[0] or 0
-    groups = max(1, math.ceil(n / group_rows))
-    dealt = rows.withColumn("__group", F.pmod(F.xxhash64("__key"), F.lit(groups))).repartition(min(groups, 8192), "__group")
+    pieces = F.greatest(F.lit(1), F.ceil(F.col("__size") / lengths[-1]))
+    n = rows.agg(F.sum(pieces)).first()[0] or 0
+    # chunks of equal rows are small beside a group
+    grouped = dealt(rows, "__key", F.greatest(F.lit(1), F.floor(F.lit(group_rows / 20) / pieces)), max(1, math.ceil(n / group_rows)))
     schema = rows.select(*keep).schema
     for field in _OUT.split(", "):
         name, kind = field.split()
         schema = schema.add(name, kind)
-    return dealt.mapInArrow(partial(_packed, n_keep=len(keep), lengths=lengths, overhead=overhead), schema)
+
+    def packed(table: pa.Table) -> pa.Table:
+        return _packed(table, keep, lengths, overhead)
+
+    return grouped.groupBy("__group").applyInArrow(packed, schema)

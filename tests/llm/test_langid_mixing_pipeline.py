@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as CP
 from paperloom.llm import langid, mixing, pii, queries
+from paperloom.llm._shared import dealt
 from tests.llm.helpers import awkward, awkward_rows, brute_components, empty
 
 SF = "/root/testdata/sf0.001"
@@ -123,7 +124,7 @@ def test_repeated_rows_are_dealt_over_buckets(spark):
     """30,000 equal rows fill 30 buckets of a thousand, and are rounded one by one."""
     same = spark.range(30_000).select(F.lit(1).alias("doc_id"), F.lit("a b c d e").alias("text"), F.lit("x").alias("source"))
     sized = mixing.with_sizes(same, ["doc_id"])
-    groups = mixing.dealt(sized, "__key", F.lit(50), 30).groupBy("__group").agg(F.sum("__n").alias("n")).collect()
+    groups = dealt(sized, "__key", F.lit(50), 30).groupBy("__group").agg(F.sum("__n").alias("n")).collect()
     assert len(groups) == 30 and sum(g.n for g in groups) == 30_000 and max(g.n for g in groups) < 3_000
     other = spark.range(30_000).select(F.lit(1).alias("doc_id"), F.lit("a b c d e").alias("text"), F.lit("y").alias("source"))
     got = mixing.mix(same.unionByName(other), ["doc_id", "source"], bucket_rows=1000).groupBy("source").agg(F.count("*").alias("n"), F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max("copies").alias("most")).collect()

@@ -4,6 +4,7 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from paperloom.llm import licenses as L
 from paperloom.llm import packing as P
@@ -205,3 +206,46 @@ def test_documents_are_packed_whole(spark):
             at += size
         assert length == min(n for n in P.LENGTHS if n >= at)
     assert P.pack_documents(df.limit(0), ["doc_id"], "n").count() == 0
+
+
+def test_equal_rows_fall_into_bounded_groups(spark):
+    same = spark.range(30_000).select(F.lit(7).alias("doc_id"), F.lit(300).alias("n"))
+    rows = P.pack_documents(same, ["doc_id"], "n", group_rows=1000)
+    groups = rows.groupBy((F.col("bin_id") / (1 << 32)).cast("long").alias("g")).count().collect()
+    assert len(groups) == 30 and sum(g["count"] for g in groups) == 30_000 and max(g["count"] for g in groups) < 3_000
+
+
+def plain_packing(sizes, lengths, overhead):
+    """Best fit with look-ahead by plain loops over all bins and items."""
+    rest, bins, of = list(sizes), [], []
+    for turn, size in enumerate(sizes):
+        rest.remove(size)
+        fitting = [i for i, (length, filled, _) in enumerate(bins) if length - filled >= size]
+        if fitting:
+            b = min(fitting, key=lambda i: (bins[i][0] - bins[i][1], -bins[i][2]))  # of equal room the one last used
+        else:
+            costs = []
+            for length in lengths:
+                if length >= size:
+                    filled = size
+                    for x in sorted(rest, reverse=True):
+                        filled += x * (filled + x <= length)
+                    costs.append(((length + overhead) / filled, length))
+            b = len(bins)
+            bins.append([min(costs)[1], 0, turn])
+        bins[b][1:] = [bins[b][1] + size, turn]
+        of.append(b)
+    return [bins[b][1] for b in of], sorted(min(n for n in lengths if n >= filled) for _, filled, _ in bins)
+
+
+def test_packing_by_brute_force():
+    r = random.Random(9)
+    for _ in range(60):
+        lengths, overhead = r.choice([((8, 16, 32), 2), ((10, 25), 1), ((512, 1024, 2048), 32)])
+        sizes = sorted((r.randint(1, lengths[-1]) for _ in range(r.randint(1, 60))), reverse=True)
+        of, _, final = P.pack(sizes, lengths, overhead)
+        filled = {}
+        for s, b in zip(sizes, of):
+            filled[b] = filled.get(b, 0) + s
+        want = plain_packing(sizes, lengths, overhead)
+        assert sorted(final) == want[1] and sorted(filled[b] for b in of) == sorted(want[0])
