@@ -1,26 +1,30 @@
 """Multilingual language identification by expectation-maximisation.
 
-Byte trigrams of lower-cased letters are hashed to features; their counts over all
-labelled texts give each language's smoothed feature likelihoods.  A text is a
-mixture of languages: starting from the likeliest single language, the language
+Byte trigrams around each byte of a lower-cased letter are hashed to features; their
+counts over all labelled texts give each language's smoothed feature likelihoods.  A
+text is a mixture of languages: starting from the likeliest single language, the language
 that would raise the likelihood fastest is added, the proportions are fitted by
-expectation-maximisation, and the set grows while the log-likelihood gain exceeds
-its penalty.  Trigrams overlap, so that each letter is seen three times;
-likelihoods are divided by three before they meet the penalty (half the logarithm
-of the text's letters, and ``extra``).
+expectation-maximisation, and the set grows while the log-likelihood gain exceeds its
+penalty (any number of languages can be chosen).  Trigrams overlap, so that each letter
+is seen three times; likelihoods are divided by three before they meet the penalty (half
+the logarithm of the text's letters, and ``extra``).  A text is fitted by itself: what
+else is in its batch, or in its partition, changes nothing.
 
-The prediction is the language with the largest proportion; its score is that
-proportion.
+The prediction is the language with the largest proportion (the first by code point on
+ties); its score is that proportion.
 
 Scale: counts are summed in each task to an array of languages x features, and
 combined before the shuffle by (language, feature); the model that is broadcast has
 at most ``max_model_bytes`` (features are halved until it fits, at least 1024).
-Prediction is one scan.  Very many texts of one language do no harm.
+Prediction is one scan; the letters that are fitted at a time get fewer with more
+languages, so that a task's arrays stay of a size.  Very many texts of one language do no
+harm.  More than ``max_languages`` labels are refused: they are the model's rows.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0 and no
-mixture, as is every text if nothing is labelled.  Labels that are null teach
+mixture, as is every text if nothing is labelled.  A very long text is one mixture: its
+arrays are bounded by the features, not by its length.  Labels that are null teach
 nothing.  Repeated rows count each; an empty table gives an empty result.  Columns
-other than those asked for with ``keep`` are not carried.
+other than those asked for with ``keep`` are not carried, so clashing names do no harm.
 """
 
 from __future__ import annotations
@@ -45,23 +49,16 @@ UNKNOWN = "und"
 
 
 def features(texts: list[str | None], bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text, feature) of every trigram; those with more than one space are left out."""
+    """(text, feature) of the trigram around every byte of a letter."""
     parts = [b"" if t is None else t.lower().encode("utf-8", "surrogatepass") for t in texts]
     # spaces around each text, so that first and last letters form trigrams of their own
     data = _CLEAN[np.frombuffer(b" " + b" ".join([*parts, b""]), dtype=np.uint8)]
     lengths = np.fromiter((len(p) + 1 for p in parts), np.int64, len(parts))
-    ends = np.cumsum(lengths)
-    space = data == 0x20
-    n = len(data) - 2
-    if n <= 0:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    spaces = space[:-2].astype(np.int8) + space[1:-1] + space[2:]
-    at = np.flatnonzero(spaces < 2)
+    at = np.flatnonzero(data[1:-1] != 0x20) + 1
     wide = data.astype(np.uint32)
-    code = wide[at] << np.uint32(16) | wide[at + 1] << np.uint32(8) | wide[at + 2]
+    code = wide[at - 1] << np.uint32(16) | wide[at] << np.uint32(8) | wide[at + 1]
     hashed = (code * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits)
-    # a trigram belongs to the text of its middle byte
-    return np.searchsorted(ends, at, side="right"), hashed.astype(np.int64)
+    return np.searchsorted(np.cumsum(lengths), at - 1, side="right"), hashed.astype(np.int64)
 
 
 def feature_bits(languages: int, max_model_bytes: int, most: int = 16, least: int = 10) -> int:
@@ -109,7 +106,7 @@ def fit(df: DataFrame, labelled: Column, text: str = "text", lang: str = "lang",
     return Model(languages, np.ascontiguousarray(likelihood.T.astype(np.float32)), bits)
 
 
-def mixtures(texts: list[str | None], model: Model, extra: float = 3.0, rounds: int = 30, most: int = 8, settle: float = 1e-3) -> np.ndarray:
+def mixtures(texts: list[str | None], model: Model, extra: float = 3.0, rounds: int = 30, settle: float = 1e-3) -> np.ndarray:
     """Language proportions of each text (rows of zeros for texts without a letter)."""
     n_texts, n_lang = len(texts), len(model.languages)
     mix = np.zeros((n_texts, n_lang))
@@ -131,7 +128,7 @@ def mixtures(texts: list[str | None], model: Model, extra: float = 3.0, rounds:
     chosen[np.arange(len(texts_in)), first] = True
     penalty = 0.5 * np.log(np.maximum(total / 3, 1.0)) + extra
     active = np.arange(len(texts_in))
-    for _ in range(min(most, n_lang) - 1):
+    for _ in range(n_lang - 1):
         if not len(active):
             break
         index, place, begin = _rows_of(active, starts, len(owner))
@@ -160,14 +157,17 @@ def mixtures(texts: list[str | None], model: Model, extra: float = 3.0, rounds:
 
 def _fit_shares(own: np.ndarray, weight: np.ndarray, place: np.ndarray, begin: np.ndarray, share: np.ndarray, total: np.ndarray, rounds: int, settle: float) -> tuple[np.ndarray, np.ndarray]:
     """Expectation-maximisation of each text's shares, and the log-likelihoods."""
+    live, new_place, new_begin = np.arange(len(total)), place, begin
+    rows = np.arange(len(place))
     for _ in range(rounds):
-        parts = own * share[place]
-        now = parts.sum(axis=1)
-        new = np.add.reduceat(parts * (weight / now)[:, None], begin, axis=0) / total[:, None]
-        moved = np.abs(new - share).max()
-        share = new
-        if moved < settle:
+        parts = own[rows] * share[live][new_place]
+        new = np.add.reduceat(parts * (weight[rows] / parts.sum(axis=1))[:, None], new_begin, axis=0) / total[live, None]
+        moves = np.abs(new - share[live]).max(axis=1) >= settle  # a text that has settled stays as it is
+        share[live] = new
+        if not moves.any():
             break
+        live = live[moves]
+        rows, new_place, new_begin = _rows_of(live, begin, len(place))
     now = (own * share[place]).sum(axis=1)
     return share, np.add.reduceat(np.log(now) * weight, begin)
 
@@ -187,13 +187,14 @@ def identify(df: DataFrame, model: Model, keep: list[Column | str], text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
+        letters = max(1, min(200_000, 16_000_000 // max(1, len(own.languages))))
         for batch in batches:
-            for part in slices(batch, "__text", most_chars=200_000):
+            for part in slices(batch, "__text", most_chars=letters):
                 shares = mixtures(strings(part, "__text"), own)
                 known = shares.sum(axis=1) > 0 if shares.size else np.zeros(part.num_rows, bool)
                 top = shares.argmax(axis=1) if shares.size else np.zeros(part.num_rows, np.int64)
                 labels = [own.languages[i] if k else UNKNOWN for i, k in zip(top, known, strict=True)]
-                score = np.clip(shares[np.arange(len(top)), top], 0.0, 1.0) if shares.size else np.zeros(part.num_rows)
+                score = np.clip(shares[np.arange(len(top)), top], 0.0, 1.0).round(9) if shares.size else np.zeros(part.num_rows)
                 mixture = [",".join(f"{own.languages[i]}:{row[i]:.2f}" for i in np.argsort(-row, kind="stable") if row[i] >= 0.005) for row in shares]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(labels, pa.string()), pa.array(score, pa.float64()), pa.array(mixture, pa.string())], names=[*part.schema.names[:-1], "lang_pred", "score", "mixture"])
 

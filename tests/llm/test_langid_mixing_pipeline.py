@@ -47,6 +47,79 @@ def test_proportions_maximise_the_likelihood(spark):
     assert np.log(p @ share).sum() > grid - 0.5
 
 
+def plain_mixture(text, own):
+    """One text's mixture by plain loops: trigrams, growth by the fastest rate, EM, penalised gain."""
+    import math
+
+    data = [b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in b" " + (text or "").lower().encode() + b" "]
+    found = {}
+    for a, b, c in zip(data, data[1:], data[2:]):
+        if b != 0x20:
+            f = ((a << 16 | b << 8 | c) * 0x9E3779B1 % 2**32) >> (32 - own.bits)
+            found[f] = found.get(f, 0) + 1
+    n = len(own.languages)
+    p = {f: [float(x) for x in own.likelihood[f]] for f in found}
+    total = sum(found.values())
+
+    def log(share):
+        return sum(k * math.log(sum(x * s for x, s in zip(p[f], share))) for f, k in found.items())
+
+    share = [0.0] * n
+    first = max(range(n), key=lambda i: log([float(i == j) for j in range(n)]))
+    share[first], now, used = 1.0, None, {first}
+    now = log(share)
+    while len(used) < n:
+        rate = {i: sum(k * p[f][i] / sum(x * s for x, s in zip(p[f], share)) for f, k in found.items()) / total - 1 for i in range(n) if i not in used}
+        added = max(rate, key=rate.get)
+        if rate[added] <= 1e-6:
+            break
+        new = [0.9 * s for s in share]
+        new[added] = 0.1
+        for _ in range(30):
+            after = [sum(k * p[f][i] * new[i] / sum(x * s for x, s in zip(p[f], new)) for f, k in found.items()) / total for i in range(n)]
+            moved = max(abs(a - b) for a, b in zip(after, new))
+            new = after
+            if moved < 1e-3:
+                break
+        if (log(new) - now) / 3 <= 0.5 * math.log(max(total / 3, 1)) + 3:
+            break
+        share, now = new, log(new)
+        used.add(added)
+    return share
+
+
+def test_mixtures_by_brute_force(spark):
+    own, texts = model(spark)
+    r = random.Random(3)
+    asked = [" ".join(texts[x][r.randrange(1000) :][: r.randint(3, 500)] for x in r.sample(sorted(texts), r.randint(1, 4))) for _ in range(25)]
+    got = langid.mixtures(asked, own)
+    assert all(np.allclose(row, plain_mixture(t, own), atol=1e-6) for row, t in zip(got, asked))
+    assert sum((row > 0.02).sum() > 1 for row in got) > 5
+
+
+def test_a_text_is_fitted_by_itself(spark):
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    own = langid.fit(df, F.lit(True))
+    one, other = (sorted((r.doc_id, r.lang_pred, r.score, r.mixture) for r in langid.identify(df.repartition(n, "text"), own, ["doc_id"]).collect()) for n in (1, 9))
+    assert one == other
+
+
+def test_single_letters_are_letters(spark):
+    own, _ = model(spark)
+    assert langid.mixtures(["a", "7 x 9"], own).sum(axis=1).round(6).tolist() == [1, 1]
+
+
+def test_many_languages_can_be_mixed():
+    alphabet = "abcdefghijklmnopqrst"
+    texts = [" ".join(c * 3 for _ in range(60)) for c in alphabet]
+    counts = np.zeros((20, 1 << 12))
+    for i, t in enumerate(texts):
+        np.add.at(counts[i], langid.features([t], 12)[1], 1)
+    likelihood = (counts + 0.01) / (counts + 0.01).sum(axis=1, keepdims=True)
+    own = langid.Model(list(alphabet), likelihood.T.astype(np.float32), 12)
+    assert (langid.mixtures([" ".join(texts)], own)[0] > 0.02).sum() == 20
+
+
 def test_awkward_languages(spark):
     df = awkward(spark)
     got = langid.identify(df, langid.fit(df, F.lit(True)), ["doc_id"]).collect()
@@ -55,6 +128,8 @@ def test_awkward_languages(spark):
     nothing = langid.fit(df, F.lit(False))
     assert {r.lang_pred for r in langid.identify(df, nothing, ["doc_id"]).collect()} == {"und"}
     assert langid.identify(empty(spark), nothing, ["doc_id"]).count() == 0
+    clash = df.withColumn("lang_pred", F.lit(1)).withColumn("score", F.lit("x"))
+    assert langid.identify(clash, nothing, ["doc_id"]).columns == ["doc_id", "lang_pred", "score", "mixture"]
 
 
 # --- mixing ------------------------------------------------------------------
