@@ -13,20 +13,22 @@ def components(links: DataFrame, scratch: Scratch, name: str, max_rounds: int =
 
     Each round hangs larger neighbours onto the smallest known one; a node with
     many neighbours is only ever grouped by aggregates that combine before the
-    shuffle, never gathered.  Rounds are written tables, so no lineage builds up.
+    shuffle, and joined with written tables of one row a node, so that Spark can split
+    its edges over tasks.  Rounds are written tables, so no lineage builds up.  A round
+    at least halves what is left of a chain, so ``max_rounds`` is far beyond any table.
     """
     spark = links.sparkSession
-    edges = scratch.keep(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}0")
-    state = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
+    edges = scratch.keep(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}0", narrow=True)
+    state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
     for n in range(1, max_rounds + 1):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = scratch.keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}{n}-near", narrow=True)
+        large = scratch.keep(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), f"{name}{n}-large", narrow=True)
+        least = scratch.keep(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}{n}-least", narrow=True)
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        edges = scratch.keep(small.where("u <> v").distinct(), f"{name}{n}")
-        now = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
-        scratch.drop(f"{name}{n - 1}")
+        edges = scratch.keep(small.where("u <> v").distinct(), f"{name}{n}", narrow=True)
+        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        scratch.drop(f"{name}{n - 1}", f"{name}{n}-near", f"{name}{n}-large", f"{name}{n}-least")
         if now == state:
             break
         state = now
@@ -34,4 +36,5 @@ def components(links: DataFrame, scratch: Scratch, name: str, max_rounds: int =
         raise RuntimeError("components did not settle")
     if not state[0]:
         return spark.createDataFrame([], "id long, root long")
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
+    roots = edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
+    return scratch.keep(roots, f"{name}roots", narrow=True)

@@ -70,30 +70,58 @@ def test_awkward_documents(spark):
     assert J.jaccard_components(empty(spark), ["doc_id"]).count() == 0
 
 
-def test_keys_keep_every_link():
-    """Two linked sets share a rare key or a combined key, whatever the frequencies."""
+@pytest.mark.parametrize("percent", [51, 60, 66, 75, 80, 90])
+def test_keys_keep_every_link(percent):
+    """Two linked sets share a rare key or a combined key, whatever the frequencies and sizes."""
     import numpy as np
 
-    r = random.Random(8)
-    for _ in range(400):
-        n = r.randint(4, 60)
+    r, tried = random.Random(percent), 0
+    while tried < 400:
+        n = r.randint(1, 90)
         a = set(r.sample(range(1, 10_000), n))
         b = set(a)
-        for _ in range(r.randint(0, n // 8 + 1)):
-            b.discard(r.choice(sorted(b)))
-            if r.random() < 0.5:
+        for _ in range(r.randint(0, n * (100 - percent) // 100 + 1)):
+            if b and r.random() < 0.6:
+                b.discard(r.choice(sorted(b)))
+            if r.random() < 0.6:
                 b.add(r.randint(1, 10_000))
-        if not a or not b or a == b or 100 * len(a & b) < 80 * len(a | b):
+        if not b or a == b or 100 * len(a & b) < percent * len(a | b):
             continue
-        df_of = {t: r.choice([0, 20, 30]) if r.random() < 0.7 else 40 for t in a | b}
+        tried += 1
+        plain = r.random() < 0.5  # all tokens frequent: only combinations can tell
+        df_of = {t: r.choice([16, 17, 40, 500]) if plain or r.random() < 0.8 else 0 for t in a | b}
         keys = []
         for s in (a, b):
             tokens = np.array(sorted(s), np.uint64)
-            rare, combined, _ = J.index_keys(tokens, np.array([df_of[int(t)] for t in tokens]), 80)
+            rare, combined, _ = J.index_keys(tokens, np.array([df_of[int(t)] for t in tokens]), percent)
             keys.append((set(rare.tolist()), set(combined.tolist())))
         assert keys[0][0] & keys[1][0] or keys[0][1] & keys[1][1]
 
 
+def test_sizes_of_combinations():
+    assert J.combination_sizes(80, 4) == ((1, 0), (2, 1), (3, 5), (4, 14))  # 13 + 14 tokens, 12 of them common, may have 4 runs of 3
+    assert J.combination_sizes(60, 4)[0] == (1, 0) and len(J.combination_sizes(51, 4)) == 2
+
+
+def test_shared_paragraphs_make_few_pairs(spark):
+    """Texts that are put together from shared paragraphs, nearly none of them linked, share few combined keys."""
+    import numpy as np
+
+    r = random.Random(1)
+    paragraphs = [sentence(r, 60) for _ in range(40)]
+    sets = J.shingle_sets(["\n".join(r.sample(paragraphs, 6)) for _ in range(600)], 5)
+    tokens, df = np.unique(np.concatenate(sets), return_counts=True)
+    joined = {}
+    for combine in (2, 4):
+        keys = []
+        for s in sets:
+            own = df[np.searchsorted(tokens, s)]
+            keys.append(np.unique(J.index_keys(s, np.where(own >= 16, own, 0), 80, combine)[1]))
+        m = np.unique(np.concatenate(keys), return_counts=True)[1]
+        joined[combine] = int((m * (m - 1) // 2).sum())
+    assert joined[4] < joined[2] / 2 and joined[4] < 600 * 599
+
+
 def test_packed_buckets_round_trip():
     import numpy as np
 
