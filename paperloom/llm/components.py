@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from paperloom.llm._shared import Scratch
 
 
-def components(links: DataFrame, scratch: Scratch, name: str, max_rounds: int = 60, small: int = 300_000) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch, name: str, max_rounds: int = 60, few: int = 300_000) -> DataFrame:
     """(id, root) of every id in ``links`` (long a, long b); the root is the smallest reachable id.
 
     Each round hangs larger neighbours onto the smallest known one; a node with
@@ -16,14 +16,14 @@ def components(links: DataFrame, scratch: Scratch, name: str, max_rounds: int =
     shuffle, and joined with written tables of one row a node, so that Spark can split
     its edges over tasks.  Rounds are written tables, so no lineage builds up.  A round
     at least halves what is left of a chain, so ``max_rounds`` is far beyond any table.
-    Below ``small`` edges the one row a node is left to Spark, which broadcasts it.
+    With at most ``few`` edges the tables of one row a node are left to Spark, which broadcasts them.
     """
     spark = links.sparkSession
     edges = scratch.keep(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{name}0", narrow=True)
     state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
 
     def kept(df: DataFrame, table: str) -> DataFrame:
-        return scratch.keep(df, table, narrow=True) if state[0] > small else df
+        return scratch.keep(df, table, narrow=True) if state[0] > few else df
 
     for n in range(1, max_rounds + 1):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

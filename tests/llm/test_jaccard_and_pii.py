@@ -129,9 +129,10 @@ def test_packed_buckets_round_trip():
     assert J.unpack(J.pack(values), len(values)).tolist() == values.tolist()
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("few", [0, 300_000])
+def test_components_of_chains_and_stars(spark, few):
     links = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 140)] + [(7, 7), (200, 201), (201, 200)]
-    got = {r.id: r.root for r in components(spark.createDataFrame(links, "a long, b long"), Scratch(spark, "t"), "r").collect()}
+    got = {r.id: r.root for r in components(spark.createDataFrame(links, "a long, b long"), Scratch(spark, "t"), "r", few=few).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 140)}, 200: 200, 201: 200}
     assert components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "t"), "r").count() == 0
 
