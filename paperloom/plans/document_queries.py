@@ -62,8 +62,8 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.section_chunks(body(spark, sf_dir), S, "\n").drop("section_index", "chunk_index")
 
 
-_META = """'Record of this paper. Title: ' || title || '. Authors: ' || array_to_string(authors, ', ') || '. It was written by ' || array_to_string(authors, ', ') || ' (author list). Published on ' || left(published_date, 10)
-  || ' (publication date). ID: ' || paper_id || '. Categories: ' || array_to_string(categories, ', ') || '. Link: ' || abs_url || '.'"""
+_META = """concat_ws(chr(10), 'Title of the paper: ' || title, 'Authors who wrote it: ' || array_to_string(authors, ', '), 'Publication date (published): ' || left(published_date, 10),
+  'Paper ID: ' || paper_id, 'Subject categories: ' || array_to_string(categories, ', '), 'Link: ' || abs_url)"""
 
 
 @query(f"WITH {PAPERS} SELECT paper_id, {_META} AS text, CAST(len({sql_words(_META)}) AS INTEGER) AS token_count FROM papers")

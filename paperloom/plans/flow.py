@@ -168,16 +168,17 @@ def find_problems(nodes: DataFrame, edges: DataFrame, entries: DataFrame) -> Dat
 def reachability(edges: DataFrame, starts: DataFrame, depth: int = MAX_STEPS) -> DataFrame:
     """(entry, node) pairs: steps that each entry reaches, itself included."""
     spark = edges.sparkSession
-    edges.createOrReplaceTempView("flow_edges_")
-    starts.createOrReplaceTempView("flow_starts_")
     # UNION ALL with a depth bound: cycles end, and what they repeat is removed after
     return spark.sql(
-        f"""
+        """
         WITH RECURSIVE reach(entry, node, depth) AS (
-          SELECT entry, node, 0 FROM flow_starts_
+          SELECT entry, node, 0 FROM {starts}
           UNION ALL
-          SELECT r.entry, e.target, r.depth + 1 FROM reach r JOIN flow_edges_ e ON e.source = r.node WHERE r.depth < {depth}
+          SELECT r.entry, e.target, r.depth + 1 FROM reach r JOIN {edges} e ON e.source = r.node WHERE r.depth < {depth}
         )
         SELECT DISTINCT entry, node FROM reach
-        """
+        """,
+        starts=starts,
+        edges=edges,
+        depth=depth,
     )

@@ -26,7 +26,7 @@ def generate(make: Callable[[], LanguageModel], prompt: Column, system_prompt: s
                     rows.append((None, (str(e).splitlines() or [type(e).__name__])[0]))
             yield pd.DataFrame(rows, columns=["text", "error"])
 
-    return run(prompt)
+    return run.asNondeterministic()(prompt)  # a second call may answer otherwise, and costs again
 
 
 def embed(make: Callable[[], Embedder], text: Column, query: bool = False) -> Column:

@@ -123,7 +123,7 @@ def test_metadata_and_abstract_passages(spark):
     none = section(spark, "", heading="x")
     got = {(r.paper_id, r.chunk_id): r.text for r in chunking.all_chunks(papers, none).collect()}
     assert set(got) == {("a", "metadata"), ("a", "abstract_1"), ("b", "metadata")}
-    assert "Ann Lee" in got[("a", "metadata")] and "2024-01-02 " in got[("a", "metadata")] and "not listed" in got[("b", "metadata")]
+    assert "Ann Lee" in got[("a", "metadata")] and "2024-01-02\n" in got[("a", "metadata")] and "not listed" in got[("b", "metadata")]
     saved = chunking.all_chunks(papers, none).where("chunk_id = 'abstract_1'")
     fixed = chunking.repair_metadata(saved, papers).orderBy("chunk_ord").collect()
     assert [(r.paper_id, r.chunk_id) for r in fixed] == [("a", "metadata"), ("a", "abstract_1")]
