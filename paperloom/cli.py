@@ -17,7 +17,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--provider", help="groq, gemini, ollama or mock")
     p.add_argument("--mock", action="store_true", help="the offline stand-in")
     p.add_argument("--out", help="where to write results (Parquet)")
-    p.add_argument("--session", help="folder of a saved session: briefings and answers so far")
+    p.add_argument("--session", help="folder of a session: a request begins it, without one it goes on with its paper and answers")
+    p.add_argument("--library", help="folder of saved passages and index; written if it isn't there")
     p.add_argument("--export-json", help="where to write results as JSON lines")
     p.add_argument("--export-md", help="where to write briefings as Markdown rows (Parquet)")
     p.add_argument("--paper", help="the paper that questions typed in are asked of")
@@ -56,47 +57,79 @@ def _run(args: argparse.Namespace) -> int:
 
         print(research_flow().mermaid())
         return 0
-    if not (args.papers and args.sections and (args.request or args.questions or args.paper)):
-        print("papers, sections, and a request, questions or a paper are needed", file=sys.stderr)
+    if not (args.papers and args.sections and (args.request or args.questions or args.paper or args.session)):
+        print("papers, sections, and a request, questions, a paper or a session are needed", file=sys.stderr)
         return 1
     from pyspark.sql import SparkSession
 
     from paperloom.operators.briefing import markdown
-    from paperloom.plans.research import analyze, ask, build_library
-    from paperloom.sources.sessions import append_session, session_turns
+    from paperloom.plans.research import analyze, ask, build_library, open_library, save_library
+    from paperloom.sources import sessions
 
     spark = SparkSession.builder.appName("paperloom").getOrCreate()
     try:
-        library = build_library(spark.read.parquet(args.papers), spark.read.parquet(args.sections), settings)
-        if args.session:
-            print(f"turns so far: {session_turns(spark, args.session)}", file=sys.stderr)
+        papers, sections = spark.read.parquet(args.papers), spark.read.parquet(args.sections)
+        if args.library and exists(spark, f"{args.library}/index"):
+            library = open_library(papers, sections, args.library)
+        else:
+            library = build_library(papers, sections, settings)
+            library = save_library(library, args.library) if args.library else library
+        turn, paper = 0, args.paper
+        if args.session and not args.request:  # a saved session goes on
+            begun = exists(spark, f"{args.session}/briefing") and not exists(spark, f"{args.session}/history")
+            turn = 0 if begun else sessions.session_turns(spark, args.session)
+            paper = paper or sessions.session_paper(spark, args.session)
+            print(f"turns so far: {turn}", file=sys.stderr)
         result = None
         if args.questions:
             result = ask(spark.read.parquet(args.questions), library, settings)
         elif args.request:
             result = analyze(spark.createDataFrame([(1, args.request)], "request_id int, request string"), library, args.today, settings)
-            if args.export_md:
-                markdown(result).write.mode("overwrite").parquet(args.export_md)
         if result is not None:
-            if args.out:
-                result.write.mode("overwrite").parquet(args.out)
+            # models are called once: the result is written, and everything else reads that
+            path = args.out or scratch(spark)
+            result.write.mode("overwrite").parquet(path)
+            result = spark.read.parquet(path)
+            if args.request and args.session:
+                sessions.save_briefing(result, args.session)
+            if args.request and args.export_md:
+                markdown(result).write.mode("overwrite").parquet(args.export_md)
             if args.export_json:
                 result.write.mode("overwrite").json(args.export_json)
             if not (args.out or args.export_json):
                 result.show(truncate=100)
+            if args.request and not paper and (first := result.select("paper_id").first()):
+                paper = first[0]
+        if paper and not args.no_interactive and not args.questions:
+            for question in typed_questions():
+                turn += 1
+                answered = ask(spark.createDataFrame([(turn, paper, question)], "question_id int, paper_id string, question string"), library, settings)
+                if args.session:
+                    answered = sessions.append_session(answered, args.session, turn)
+                for row in answered.select("answer").collect():
+                    print(row.answer)
     except Exception as e:  # unreadable input
         print(str(e).splitlines()[0], file=sys.stderr)
         return 1
-    if args.paper and not args.no_interactive:
-        for turn, question in enumerate(typed_questions(), 1):
-            answered = ask(spark.createDataFrame([(turn, args.paper, question)], "question_id int, paper_id string, question string"), library, settings)
-            if args.session:
-                append_session(answered, args.session)
-            for row in answered.collect():
-                print(row.answer)
     return 0
 
 
+def scratch(spark) -> str:
+    """A folder for a result that is not asked for by name; on a cluster the shared one."""
+    import tempfile
+    import uuid
+
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("name a folder with --out, or set spark.checkpoint.dir")
+    return f"{folder or tempfile.gettempdir()}/paperloom-{uuid.uuid4().hex}"
+
+
+def exists(spark, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def typed_questions():
     """Lines until an empty input, exit, quit or q."""
     while True:

@@ -8,7 +8,7 @@ from dataclasses import dataclass, fields, replace
 
 #: Order in which a provider is taken when none is named.
 PROVIDERS = ("groq", "gemini", "ollama", "mock")
-RETRIEVAL_MODES = ("auto", "tfidf", "hybrid")
+RETRIEVAL_MODES = ("auto", "tfidf", "hybrid", "hybrid+rerank")
 
 
 @dataclass(frozen=True)

@@ -1,7 +1,8 @@
 """Retrieval: lexical and dense scores, relevance gates, rank fusion, reranking, top k.
 
 Questions are ``(question_id, paper_id, question)``; a question is asked of one
-paper, so every join is on paper_id.  Ties go to the smaller chunk_id.
+paper, so every join is on paper_id.  Ties go to the earlier passage of the paper: the
+metadata passage, then by the numbers in the ids (s2_c1 before s10_c1).
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paperloom.config import Settings
 from paperloom.functions.scores import dot, unit
@@ -21,6 +23,14 @@ ASKED = ["question_id", "paper_id"]
 DIGITS = 9
 
 
+def passage_order(rows: DataFrame) -> list[Column]:
+    """Sorts passages as they stand in their paper; ids that are numbers, by number."""
+    if not isinstance(rows.schema["chunk_id"].dataType, T.StringType):
+        return [F.col("chunk_id")]
+    numbers = F.transform(F.regexp_extract_all("chunk_id", F.lit("-?[0-9]{1,18}"), F.lit(0)), lambda x: x.cast("long"))
+    return [numbers, F.col("chunk_id")]
+
+
 def query_vectors(questions: DataFrame, index: Index) -> DataFrame:
     """question_id, paper_id, term and weight of the terms that the paper knows; unit length."""
     asked = questions.select(*ASKED, F.explode(tokens(F.col("question"))).alias("term")).groupBy(*ASKED, "term").agg(F.count("*").alias("tf"))
@@ -39,7 +49,7 @@ def lexical_scores(questions: DataFrame, index: Index) -> DataFrame:
 
 def best(scores: DataFrame, score: str, k: int) -> DataFrame:
     """The k best rows of each question, with their rank from 1."""
-    order = Window.partitionBy(*ASKED).orderBy(F.desc(score), "chunk_id")
+    order = Window.partitionBy(*ASKED).orderBy(F.desc(score), *passage_order(scores))
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
@@ -78,7 +88,7 @@ def gate(scores: DataFrame, settings: Settings = Settings()) -> DataFrame:
 def fuse(scores: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Adds ``fused``, the sum over signals of 1 / (k + rank), ranks from 0 over all passages."""
     def place(signal: str) -> Column:
-        return F.row_number().over(Window.partitionBy(*ASKED).orderBy(F.desc(signal), "chunk_id")) - 1
+        return F.row_number().over(Window.partitionBy(*ASKED).orderBy(F.desc(signal), *passage_order(scores))) - 1
 
     ranked = scores.withColumns({"dense_rank": place("dense"), "lexical_rank": place("lexical")})
     return ranked.withColumn("fused", F.round(1.0 / (settings.rrf_k + F.col("dense_rank")) + 1.0 / (settings.rrf_k + F.col("lexical_rank")), 12))
@@ -87,7 +97,7 @@ def fuse(scores: DataFrame, settings: Settings = Settings()) -> DataFrame:
 def pool(scores: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The best passages of each question that passes the gate, by fused score."""
     passed = gate(scores, settings).where("passed").select(*ASKED)
-    order = Window.partitionBy(*ASKED).orderBy(F.desc("fused"), "chunk_id")
+    order = Window.partitionBy(*ASKED).orderBy(F.desc("fused"), *passage_order(scores))
     return fuse(scores.join(passed, ASKED, "left_semi"), settings).withColumn("place", F.row_number().over(order)).where(F.col("place") <= settings.rerank_pool)
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,10 +13,12 @@ from paperloom.functions.text import intent
 from paperloom.operators import briefing, chunking, qa, search
 from paperloom.operators.context import briefing_context
 from paperloom.operators.index import Index, build_index
-from paperloom.operators.retrieve import hybrid_search, lexical_search
+from paperloom.operators.retrieve import hybrid_search, lexical_search, overlap_rerank
 from paperloom.plans.flow import END, Flow
 from paperloom.providers import get_provider
-from paperloom.providers.base import LanguageModel
+from paperloom.providers.base import LanguageModel, Reranker
+from paperloom.providers.models import rerank
+from paperloom.sources.sessions import load_index, save_index
 
 
 @dataclass
@@ -30,6 +32,26 @@ class Library:
     vectors: DataFrame | None = None
 
 
+def save_library(library: Library, path: str) -> Library:
+    """The library with its passages and index written under ``path``, and read from there: built once for all questions."""
+    spark = library.papers.sparkSession
+    library.chunks.write.mode("overwrite").parquet(f"{path}/chunks")
+    chunks = spark.read.parquet(f"{path}/chunks")
+    save_index(build_index(chunks), f"{path}/index")
+    return replace(library, chunks=chunks, index=load_index(spark, f"{path}/index"))
+
+
+def open_library(papers: DataFrame, sections: DataFrame, path: str, vectors: DataFrame | None = None) -> Library:
+    """A library saved by ``save_library``; nothing is built again, unless saved passages lack a paper's record."""
+    spark = papers.sparkSession
+    saved = spark.read.parquet(f"{path}/chunks")
+    lacking = saved.groupBy("paper_id").agg(F.max(F.col("chunk_id") == "metadata").alias("known")).where("not known")
+    if lacking.isEmpty():
+        return Library(papers, sections, saved, load_index(spark, f"{path}/index"), vectors)
+    chunks = chunking.repair_metadata(saved, papers)
+    return Library(papers, sections, chunks, build_index(chunks), vectors)
+
+
 def build_library(papers: DataFrame, sections: DataFrame, settings: Settings = Settings(), separator: str = "\n\n", vectors: DataFrame | None = None) -> Library:
     chunks = chunking.all_chunks(papers, sections, settings, separator)
     return Library(papers, sections, chunks, build_index(chunks), vectors)
@@ -54,20 +76,30 @@ def analyze(requests: DataFrame, library: Library, today: str, settings: Setting
     return found.join(written, "paper_id")
 
 
-def retrieve(questions: DataFrame, library: Library, settings: Settings = Settings()) -> DataFrame:
-    """Hybrid where the library has vectors and the questions too, else lexical."""
+def retrieve(questions: DataFrame, library: Library, settings: Settings = Settings(), reranker: Callable[[], Reranker] | None = None) -> DataFrame:
+    """Hybrid where the library has vectors and the questions too, else lexical.
+
+    In the mode hybrid+rerank, and in the mode auto where a ``reranker`` is given, it
+    orders the fused pool; without one, the share of the question's terms does.
+    """
     mode = settings.retrieval_mode
     able = library.vectors is not None and "vector" in questions.columns
-    if mode == "hybrid" and not able:
+    if mode.startswith("hybrid") and not able:
         raise ValueError("hybrid retrieval needs vectors of passages and questions")
     if mode != "tfidf" and able:
-        return hybrid_search(questions, library.index, library.vectors, settings)
+        order = None
+        if mode == "hybrid+rerank" or (mode == "auto" and reranker):
+            order = rerank(reranker, questions, library.chunks) if reranker else overlap_rerank(questions, library.chunks)
+        return hybrid_search(questions, library.index, library.vectors, settings, order)
     return lexical_search(questions, library.index, settings)
 
 
-def ask(questions: DataFrame, library: Library, settings: Settings = Settings(), make: Callable[[], LanguageModel] | None = None) -> DataFrame:
-    """Answers to questions (question_id, paper_id, question)."""
-    found = retrieve(questions, library, settings)
+def ask(questions: DataFrame, library: Library, settings: Settings = Settings(), make: Callable[[], LanguageModel] | None = None, reranker: Callable[[], Reranker] | None = None) -> DataFrame:
+    """Answers to questions (question_id, paper_id, question).
+
+    The result calls the model whenever it is evaluated: write it once, and read that.
+    """
+    found = retrieve(questions, library, settings, reranker)
     return qa.answers(qa.prompts(questions, found, library.chunks, library.papers, settings), make or (lambda: get_provider(settings)))
 
 

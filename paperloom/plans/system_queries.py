@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperloom.config import Settings
 from paperloom.operators import index as I
 from paperloom.operators import telemetry as TEL
+from paperloom.operators.retrieve import best
 from paperloom.plans import flow
 from paperloom.plans.registry import passages, query, table
 from paperloom.plans.research import research_flow
+from paperloom.plans.text_queries import sql_tokens
 from paperloom.sources import atom, pdf, sessions
 
 
@@ -125,9 +128,23 @@ def session_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.from_json_rows(sessions.to_json_rows(keyed, "session_id"), "conv_id long, turn long, role string, text string")
 
 
-@query("SELECT source AS paper_id, count(*) AS chunks FROM documents GROUP BY 1")
+@query(f"SELECT source AS paper_id, count(*) AS chunks, count(*) FILTER (len({sql_tokens('text')}) > 0) AS known FROM documents GROUP BY 1")
 def index_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages of each paper that its index knows; a passage without terms is known by none."""
+    """Passages of each paper, and how many its postings and norms hold; one without terms is in neither."""
     own = passages(spark, sf_dir)
-    known = I.build_index(own).postings.select("paper_id", "chunk_id").distinct()
-    return own.join(known, ["paper_id", "chunk_id"], "left").groupBy("paper_id").agg(F.count("*").alias("chunks"))
+    index = I.build_index(own)
+    held = index.postings.select("paper_id", "chunk_id").distinct().join(index.norms.where("norm > 0"), ["paper_id", "chunk_id"]).groupBy("paper_id").agg(F.count("*").alias("known"))
+    return own.groupBy("paper_id").agg(F.count("*").alias("chunks")).join(held, "paper_id", "left").withColumn("known", F.coalesce("known", F.lit(0).cast("long")))
+
+
+@query(
+    f"""
+SELECT doc_id % 3 AS question_id, source AS paper_id, 's' || (doc_id % 40) || '_c' || doc_id AS chunk_id,
+  CAST(row_number() OVER (PARTITION BY doc_id % 3, source ORDER BY n_chars % 2 DESC, doc_id % 40, doc_id) AS INTEGER) AS rank FROM documents
+QUALIFY rank <= {Settings().top_k}
+"""
+)
+def passage_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal scores go to the earlier passage: s2_c1 before s10_c1."""
+    scores = table(spark, sf_dir, "documents").select((F.col("doc_id") % 3).alias("question_id"), F.col("source").alias("paper_id"), F.concat(F.lit("s"), F.col("doc_id") % 40, F.lit("_c"), "doc_id").alias("chunk_id"), (F.col("n_chars") % 2).alias("score"))
+    return best(scores, "score", Settings().top_k).drop("score")

@@ -29,9 +29,27 @@ def load_sessions(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return from_json_rows(spark.read.parquet(path), schema)
 
 
-def append_session(answers: DataFrame, path: str) -> None:
-    """Adds answers to a session's history."""
-    answers.write.mode("append").parquet(f"{path}/history")
+def append_session(answers: DataFrame, path: str, turn: int | None = None) -> DataFrame:
+    """Adds answers to a session's history, and reads them from there; a turn that is written again replaces itself.
+
+    Without a turn, each answer's question_id numbers it.
+    """
+    numbered = answers.withColumn("turn", (F.col("question_id") if turn is None else F.lit(turn)).cast("long"))
+    numbered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("turn").parquet(f"{path}/history")
+    history = answers.sparkSession.read.parquet(f"{path}/history")
+    return history if turn is None else history.where(F.col("turn") == turn)
+
+
+def save_briefing(briefing: DataFrame, path: str) -> DataFrame:
+    """Writes the briefing that a session is about; it is read from there, so that no model is called twice."""
+    briefing.write.mode("overwrite").parquet(f"{path}/briefing")
+    return briefing.sparkSession.read.parquet(f"{path}/briefing")
+
+
+def session_paper(spark: SparkSession, path: str) -> str | None:
+    """The paper that a saved session's briefing is about."""
+    row = spark.read.parquet(f"{path}/briefing").select("paper_id").first()
+    return row[0] if row else None
 
 
 def session_turns(spark: SparkSession, path: str) -> int:

@@ -153,6 +153,11 @@ def test_retries():
     waits.clear()
     post_json("u", {}, transport=transport((429, {"retry-after": "7"}, ""), ok), sleep=waits.append)
     assert waits == [7.0]
+    waits.clear()
+    post_json("u", {}, transport=transport((429, {"retry-after": "Wed, 21 Oct 2015 07:28:00 GMT"}, ""), (429, {"retry-after": "soon"}, ""), ok), sleep=waits.append)
+    assert waits == [2.0, 4.0]
+    with pytest.raises(ProviderError, match="no JSON"):
+        post_json("u", {}, transport=transport((200, {}, "<html>")))
     with pytest.raises(ProviderError, match="HTTP 400: bad key$"):
         post_json("u", {}, transport=transport((400, {}, '{"error": {"message": "bad key\\nmore"}}')), sleep=waits.append)
     with pytest.raises(ProviderError, match="3 attempts"):
@@ -166,6 +171,11 @@ def test_providers():
     answer = (200, {}, '{"candidates": [{"content": {"parts": [{"text": "a"}, {"text": "b"}]}}]}')
     model = Gemini("k", "m1", ("m2",), transport=transport((400, {}, "gone"), answer, answer))
     assert model.generate("p") == "ab" and model.failed == {"m1"} and model.generate("p") == "ab"
+    thought = (200, {}, '{"candidates": [{"content": {"parts": [{"text": "hm", "thought": true}, {"text": "a"}]}}]}')
+    blocked = (200, {}, '{"promptFeedback": {"blockReason": "SAFETY"}}')
+    model = Gemini("k", "m1", ("m2",), transport=transport(blocked, thought, (503, {}, "busy"), thought))
+    assert model.generate("p") == "a" and not model.failed  # a blocked answer says nothing about the model
+    assert model.generate("p") == "a" and model.failed == {"m1"}  # one short attempt where another model stands by
     assert Ollama(transport=transport((200, {}, '{"response": "r"}'))).generate("p") == "r"
     with pytest.raises(ProviderError, match="1 attempts"):
         Ollama(transport=transport((503, {}, "x"))).generate("p")
@@ -193,15 +203,33 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     papers(spark).write.parquet(str(tmp_path / "p"))
     sections(spark).write.parquet(str(tmp_path / "s"))
     given = ["--mock", "--papers", str(tmp_path / "p"), "--sections", str(tmp_path / "s")]
-    assert cli.main(["graph learning", *given, "--export-json", str(tmp_path / "out")]) == 0
+    begin = ["graph learning", *given, "--session", str(tmp_path / "own"), "--library", str(tmp_path / "lib"), "--no-interactive"]
+    assert cli.main([*begin, "--export-json", str(tmp_path / "out")]) == 0
     assert "Graph learning" in spark.read.json(str(tmp_path / "out")).first().title
     assert cli.main(["x", "--mock", "--papers", str(tmp_path / "none"), "--sections", str(tmp_path / "s")]) == 1
     assert cli.main([*given, "--paper", "1706.1", "--session", str(tmp_path / "lost")]) == 1  # no such session
     sessions.append_session(spark.createDataFrame([(0, "1706.1", "q", "a", True, 0.5)], "question_id int, paper_id string, question string, answer string, is_grounded boolean, confidence double"), str(tmp_path / "kept"))
-    lines = iter(["", "how many layers and heads", "quit"])
+    lines = iter(["", "how many layers and heads", "quit", "what does it learn", "q"])
     monkeypatch.setattr("builtins.input", lambda _: next(lines))
     assert cli.main([*given, "--paper", "1706.1", "--session", str(tmp_path / "kept")]) == 0
     assert "[Source 1]" in capsys.readouterr().out and sessions.session_turns(spark, str(tmp_path / "kept")) == 2
+    # the session that the request began goes on with its paper, on the saved library
+    assert cli.main([*given, "--session", str(tmp_path / "own"), "--library", str(tmp_path / "lib")]) == 0
+    assert [(r.paper_id, r.turn) for r in spark.read.parquet(str(tmp_path / "own" / "history")).collect()] == [("2401.2", 1)]
+
+
+def test_saved_libraries_answer_alike(spark, tmp_path):
+    built = research.build_library(papers(spark), sections(spark))
+    research.save_library(built, str(tmp_path / "lib"))
+    asked = spark.createDataFrame([(1, "1706.1", "encoder layers"), (2, "2401.2", "features of neighbours")], "question_id int, paper_id string, question string")
+    opened = research.open_library(papers(spark), sections(spark), str(tmp_path / "lib"))
+    assert sorted(research.retrieve(asked, opened).collect()) == sorted(research.retrieve(asked, built).collect())
+    # saved passages without a paper's record get it
+    spark.read.parquet(str(tmp_path / "lib" / "chunks")).where("chunk_id <> 'metadata'").write.parquet(str(tmp_path / "old" / "chunks"))
+    repaired = research.open_library(papers(spark), sections(spark), str(tmp_path / "old"))
+    assert repaired.chunks.where("chunk_id = 'metadata'").count() == papers(spark).count()
+    about = asked.where("question_id = 1").withColumn("question", F.lit("when was the paper published, and by which authors"))
+    assert research.retrieve(about, repaired).orderBy("rank").first().chunk_id == "metadata"
 
 
 # --- sources and streams -----------------------------------------------------

@@ -157,8 +157,24 @@ def test_retrieval_modes(spark, chunks):
     assert retrieve(asked, plain).count() == 0  # auto without vectors is lexical
     assert retrieve(asked, dense).count() == 3  # auto with vectors is hybrid
     assert retrieve(asked, dense, Settings(retrieval_mode="tfidf")).count() == 0
-    with pytest.raises(ValueError):
-        retrieve(asked, plain, Settings(retrieval_mode="hybrid"))
+    for mode in ("hybrid", "hybrid+rerank"):
+        with pytest.raises(ValueError):
+            retrieve(asked, plain, Settings(retrieval_mode=mode))
+
+    class Backwards:
+        def score(self, query, texts):
+            return [-len(t) for t in texts]
+
+    ranked = {mode: [r.chunk_id for r in retrieve(asked, dense, Settings(retrieval_mode=mode), give).orderBy("rank").collect()] for mode, give in (("hybrid", None), ("hybrid+rerank", Backwards), ("auto", Backwards))}
+    length = {r.chunk_id: len(r.text) for r in chunks.where("paper_id = 'p'").collect()}
+    assert ranked["hybrid+rerank"] == ranked["auto"] == sorted(ranked["auto"], key=length.get) and set(ranked["auto"]) == set(ranked["hybrid"])
+    assert retrieve(asked, dense, Settings(retrieval_mode="hybrid+rerank")).count() == 3
+
+
+def test_ties_go_to_the_earlier_passage(spark):
+    ids = ["s10_c1", "s2_c2", "metadata", "s2_c10", "s-1_c1", "s2_c9"]
+    rows = spark.createDataFrame([(1, "p", i, 0.5) for i in ids], "question_id int, paper_id string, chunk_id string, lexical double")
+    assert [r.chunk_id for r in R.best(rows, "lexical", 9).orderBy("rank").collect()] == ["metadata", "s-1_c1", "s2_c2", "s2_c9", "s2_c10", "s10_c1"]
 
 
 @pytest.mark.parametrize("seed", range(8))
