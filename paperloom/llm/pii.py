@@ -11,7 +11,8 @@ different texts with both,
 A term whose PMI reaches ``generalise`` times IC discloses the entity and is
 generalised at all its places in the entity's texts; from ``remove`` times IC on it
 is removed.  One text is enough to be judged: n(t) tells a rare name from a common
-word.
+word.  A term is generalised to its kind of word, as its writing tells it: NAME for a
+capitalised word, ACRONYM for one in capitals, else TERM.
 
 Scale: a text with an entity is kept once, with its distinct entities and the number
 of its rows.  Entities that stand in exactly the same texts are judged as one, so a
@@ -25,8 +26,11 @@ texts, n(e) and n(t) rows, so that copies of one text give no support to each ot
 a text of c rows alone with its entity and a term of its own has the strength
 log(n / c^2) / log(n / c).
 
-Defined results: a null text counts as empty and has no spans.  Repeated rows get
-the same spans.  Empty tables give empty results.
+Defined results: a null text counts as empty and has no spans.  A very long text is
+searched whole, in time proportional to its length.  Repeated rows get the same spans;
+strengths that tie with a threshold reach it.  Empty tables give empty results.
+``personal_data`` carries only ``keep``; ``sanitise`` carries every column, and names its
+own so that they clash with none.
 """
 
 from __future__ import annotations
@@ -37,6 +41,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -292,9 +297,14 @@ def personal_data(df: DataFrame, keep: list[str], text: str = "text", limits: Di
     return plain.select(*columns).unionByName(marked.select(*columns))
 
 
+def general(word: str) -> str:
+    """What a disclosing term is generalised to."""
+    return "<ACRONYM>" if word.isupper() else "<NAME>" if word[0].isupper() else "<TERM>"
+
+
 def mask(text: str, spans: list[tuple[str, int, int]], terms: list[dict] | None) -> str:
-    """The text with places named by kind, generalised terms as <TERM>, and removed terms left out."""
-    cuts = sorted([(a, b, f"<{k.upper()}>") for k, a, b in spans] + [(t["start"], t["end"], "" if t["removed"] else "<TERM>") for t in terms or []])
+    """The text with places named by kind, generalised terms as their kind of word, and removed terms left out."""
+    cuts = sorted([(a, b, f"<{k.upper()}>") for k, a, b in spans] + [(t["start"], t["end"], "" if t["removed"] else general(text[t["start"] : t["end"]])) for t in terms or []])
     out, at = [], 0
     for a, b, name in cuts:
         if a >= at:
@@ -303,33 +313,33 @@ def mask(text: str, spans: list[tuple[str, int, int]], terms: list[dict] | None)
     return "".join([*out, text[at:]])
 
 
-def _split(batches: Iterator[pa.RecordBatch], text: str, touched: bool) -> Iterator[pa.RecordBatch]:
-    """The rows with (or without) an entity, the former with their text's key."""
+def _split(batches: Iterator[pa.RecordBatch], text: str, key: str | None) -> Iterator[pa.RecordBatch]:
+    """The rows with an entity, with their text's key as the column ``key``; without that name, the other rows."""
     for batch in batches:
         for part in slices(batch, text):
             texts = strings(part, text)
             own = [bool(find_spans(t)) for t in texts]
-            if touched:
-                part = part.append_column("__key", pa.array([text_key(t) if o else None for t, o in zip(texts, own, strict=True)], pa.binary()))
-            yield part.filter(pa.array([o == touched for o in own], pa.bool_()))
+            if key:
+                part = part.append_column(key, pa.array([text_key(t) if o else None for t, o in zip(texts, own, strict=True)], pa.binary()))
+            yield part.filter(pa.array([o == bool(key) for o in own], pa.bool_()))
 
 
-def _masked(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+def _masked(batches: Iterator[pa.RecordBatch], text: str, terms: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, text):
-            texts = [mask(t, find_spans(t), x) for t, x in zip(strings(part, text), part.column("__terms").to_pylist(), strict=True)]
-            columns = [pa.array(texts, pa.string()) if n == text else part.column(n) for n in part.schema.names if n != "__terms"]
-            yield pa.RecordBatch.from_arrays(columns, names=[n for n in part.schema.names if n != "__terms"])
+            texts = [mask(t, find_spans(t), x) for t, x in zip(strings(part, text), part.column(terms).to_pylist(), strict=True)]
+            columns = [pa.array(texts, pa.string()) if n == text else part.column(n) for n in part.schema.names if n != terms]
+            yield pa.RecordBatch.from_arrays(columns, names=[n for n in part.schema.names if n != terms])
 
 
 def sanitise(df: DataFrame, text: str = "text", limits: Disclosure = Disclosure()) -> DataFrame:
     """All rows and columns of ``df``, the text without personal data and disclosing terms."""
     scratch = Scratch(df.sparkSession, "pii")
     terms = disclosing_terms(df, text, limits, scratch)
-    if "__key" in df.columns:
-        raise ValueError("the column name __key is taken")
-    plain = df.mapInArrow(partial(_split, text=text, touched=False), df.schema)
-    keyed = T.StructType([*df.schema.fields, T.StructField("__key", T.BinaryType())])
-    touched = df.mapInArrow(partial(_split, text=text, touched=True), keyed)
-    joined = touched.join(terms.select(F.col("text_key").alias("__key"), F.col("terms").alias("__terms")), "__key", "left").select(*df.columns, "__terms")
-    return plain.unionByName(joined.mapInArrow(partial(_masked, text=text), df.schema))
+    taken = {c.lower() for c in df.columns}
+    key, own = (next(n for i in count() if (n := f"__{name}{i}") not in taken) for name in ("key", "terms"))
+    plain = df.mapInArrow(partial(_split, text=text, key=None), df.schema)
+    keyed = T.StructType([*df.schema.fields, T.StructField(key, T.BinaryType())])
+    touched = df.mapInArrow(partial(_split, text=text, key=key), keyed)
+    joined = touched.join(terms.select(F.col("text_key").alias(key), F.col("terms").alias(own)), key, "left").select(*df.columns, own)
+    return plain.unionByName(joined.mapInArrow(partial(_masked, text=text, terms=own), df.schema))

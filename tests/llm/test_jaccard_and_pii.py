@@ -231,6 +231,52 @@ def test_masking(spark):
     assert pii.mask("ab cd ef", [("ip", 3, 5), ("card", 4, 8)], [{"start": 0, "end": 2, "removed": True}]) == " <IP>"
 
 
+def test_generalised_terms_keep_their_kind_of_word():
+    terms = [{"start": a, "end": b, "removed": False} for a, b in ((0, 5), (6, 10), (11, 17))]
+    assert pii.mask("Smith NASA quarks", [], terms) == "<NAME> <ACRONYM> <TERM>"
+
+
+def test_own_columns_clash_with_none(spark):
+    df = people(spark).withColumns({"__key0": F.lit(1), "__terms0": F.lit("x"), "__KEY1": F.lit(2), "__key": F.lit(3), "__terms": F.lit(4)})
+    out = pii.sanitise(df)
+    assert out.columns == df.columns and {tuple(r) for r in out.select("__key0", "__terms0", "__KEY1", "__key", "__terms").collect()} == {(1, "x", 2, 3, 4)}
+
+
+def brute_terms(rows: list[str | None], generalise: float = 0.8) -> dict[str, set[tuple[int, int]]]:
+    """Places of each text's disclosing terms, from plain counts of all entities and terms."""
+    import math
+
+    found = {t: pii.find_spans(t) for t in rows if t}
+    n_e, n_t, n_te = {}, {}, {}
+    words = {t: {w.lower() for w in re.findall(r"[^\W\d_]{3,}", t)} for t in found}
+    terms = {t: list(pii.context_terms(t, s)) for t, s in found.items() if s}
+    entities = {t: {pii.entity_of(k, t[a:b]) for k, a, b in s} for t, s in found.items() if s}
+    for t in rows:
+        for e in entities.get(t, ()):
+            n_e[e] = n_e.get(e, 0) + 1
+        for w in words.get(t, ()):
+            n_t[w] = n_t.get(w, 0) + 1
+    for t, own in entities.items():
+        for e in own:
+            for w in {w for w, _, _ in terms[t]}:
+                n_te[w, e] = n_te.get((w, e), 0) + 1
+    n = len(rows)
+    strong = {(w, e) for (w, e), k in n_te.items() if n_e[e] < n and math.log(n * k / (n_t[w] * n_e[e])) / math.log(n / n_e[e]) >= generalise}
+    return {t: {(a, b) for w, a, b in terms[t] if any((w, e) in strong for e in own)} for t, own in entities.items()}
+
+
+def test_terms_by_brute_force(spark):
+    df = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(people(spark).withColumn("doc_id", F.col("doc_id") + 10_000))
+    texts = {r.doc_id: r.text for r in df.collect()}
+    want = brute_terms(list(texts.values()))
+    marked = 0
+    for r in pii.personal_data(df, ["doc_id"]).collect():
+        got = {(int(a), int(b)) for k, a, b in (s.split(":") for s in r.spans.split(",") if s) if k == "term"}
+        assert got == want.get(texts[r.doc_id], set())
+        marked += len(got)
+    assert marked > 50
+
+
 def test_query_by_brute_force(spark):
     import hashlib
 
