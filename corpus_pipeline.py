@@ -1,4 +1,10 @@
-"""From raw documents to packed training sequences, in stages written between each other."""
+"""From raw documents to packed training sequences, in stages written between each other.
+
+All stages: a null in any column is a value as any other; very long texts are worked on
+whole; repeated rows are rows each; columns beyond those of documents are not carried, so
+clashing names do no harm; an empty table gives an empty result.  What a stage does with
+null and empty texts, and with ties, stands in its docstring.
+"""
 
 from __future__ import annotations
 
@@ -22,7 +28,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the quality rules keep."""
+    """Rows that the quality rules keep; null and empty texts have too few words, and a figure at its limit is kept."""
     return quality_rules(docs, COLUMNS).where("kept").select(*COLUMNS)
 
 
@@ -59,7 +65,7 @@ def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mix takes it."""
+    """Each row as often as the mix takes it; rows without words are never taken, ties are settled by hash."""
     keyed = docs.select(*COLUMNS, F.xxhash64(*COLUMNS).alias("__row"))
     copies = mix(keyed, ["__row"]).groupBy("__row").agg(F.sum("copies").cast("int").alias("__n"), (F.count("*") > 1).alias("__repeated"))
     copies = Scratch(spark, "copies").keep(copies.where("__n > 0"), "copies", narrow=True)
@@ -71,7 +77,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of every document, or piece of one, in the training sequences."""
+    """The place of every document, or piece of one, in the training sequences; without tokens it has a row and no place."""
     return pack_documents(token_counts(docs, ["doc_id", "source"]), ["doc_id", "source"], "n_tokens")
 
 
