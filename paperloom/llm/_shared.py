@@ -28,6 +28,7 @@ def shared_folder(spark: SparkSession) -> str:
 #: Rows in an Arrow batch: texts are long, and a batch is held by the JVM and by Python.
 BATCH_ROWS = 1000
 _BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_RELEASE_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -59,7 +60,12 @@ class Scratch:
     def keep(self, df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
         """``narrow`` tables (no texts) are dealt anew first, so that many small tasks write few files."""
         df = df.hint("rebalance") if narrow else df
-        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+        held = self.spark.conf.get(_RELEASE_CONF)
+        self.spark.conf.set(_RELEASE_CONF, "true")  # shuffle files go as soon as the table is written
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+        finally:
+            self.spark.conf.set(_RELEASE_CONF, held)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
