@@ -32,10 +32,10 @@ _RELEASE_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lowers the session's Arrow batch size to ``BATCH_ROWS`` (a smaller one stays), 64 MB at most."""
+    """Lowers the session's Arrow batch size to ``BATCH_ROWS`` (a smaller one stays), 8 MB at most."""
     if not 0 < int(spark.conf.get(_BATCH_CONF)) <= BATCH_ROWS:
         spark.conf.set(_BATCH_CONF, str(BATCH_ROWS))
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 26))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 23))
 
 
 class Scratch:

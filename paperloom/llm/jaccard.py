@@ -144,7 +144,7 @@ def unpack(blob: bytes, n: int) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint32).ravel(), dtype=np.uint64)
 
 
-def _packed_buckets(batches: Iterator[pa.RecordBatch], part_bits: int, flush: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+def _packed_buckets(batches: Iterator[pa.RecordBatch], part_bits: int, flush: int = 500_000) -> Iterator[pa.RecordBatch]:
     low = np.uint64(BUCKET_BITS - part_bits)
 
     def packed(held: list[np.ndarray]) -> pa.RecordBatch:
@@ -316,7 +316,7 @@ def _pairs_of_keys(table: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
             yield _rows(names, np.full(len(own), SHARED, np.int8), key[own], entity[own], n[own], at[own])
         elif m > 2:
             i, j = np.triu_indices(m, 1)
-            for begin in range(0, len(rows), step := max(1, 1_000_000 // len(i))):
+            for begin in range(0, len(rows), step := max(1, 250_000 // len(i))):
                 part = rows[begin : begin + step]
                 other = (i[None, :] != centre[begin : begin + step, None]) & (j[None, :] != centre[begin : begin + step, None])
                 later.append(np.unique(fitting(part[:, i][other], part[:, j][other]), axis=0))
@@ -429,7 +429,7 @@ def jaccard_components(
     keys = sets.mapInArrow(partial(_key_rows, percent=percent, combine=combine, shared=shared), key_schema)
     # a rare key's sets meet in one group; combined keys only pass, dealt by key and set
     place = F.when(F.col("kind") == COMBINED, F.xxhash64("key", "id")).otherwise(F.xxhash64("key"))
-    grouped = keys.withColumn("group", F.pmod(place, F.lit(max(1, math.ceil(total / 1_000_000))))).groupBy("group").applyInArrow(_rare_pairs(percent), key_schema)
+    grouped = keys.withColumn("group", F.pmod(place, F.lit(max(1, math.ceil(total / 500_000))))).groupBy("group").applyInArrow(_rare_pairs(percent), key_schema)
     found = scratch.keep(grouped, "keys", narrow=True)
     near = found.where(F.col("kind") == RARE).select(F.col("key").alias("a"), F.col("id").alias("b"))
     later = found.where(F.col("kind") == LATER).select(F.col("key").alias("a"), F.col("id").alias("b")).distinct()
