@@ -181,13 +181,8 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _term_id(term: str) -> int:
-    return xxhash.xxh64_intdigest(term.encode("utf-8", "surrogatepass"))
-
-
-def _term_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = np.array([_term_id(t) for t in batch.column("term").to_pylist()], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(ids)], names=["id"])
+    """Spark's xxhash64 of the term, so that filters are built from a column."""
+    return xxhash.xxh64_intdigest(term.encode("utf-8", "surrogatepass"), 42)
 
 
 def _term_counts(batches: Iterator[pa.RecordBatch], shared, flush: int = 300_000) -> Iterator[pa.RecordBatch]:
@@ -242,13 +237,13 @@ def disclosing_terms(df: DataFrame, text: str = "text", limits: Disclosure = Dis
         """The most documents that a disclosing term of an entity can stand in (with room for rounding)."""
         return F.pow(n_e, F.lit(limits.generalise)) * F.pow(F.lit(total), F.lit(1 - limits.generalise)) * (1 + 1e-9)
 
-    bloom = spark.sparkContext.broadcast(build_bloom(terms.mapInArrow(_term_ids, "id long"), n_terms))
+    bloom = spark.sparkContext.broadcast(build_bloom(terms.select(F.xxhash64("term").alias("id")), n_terms))
     counted = texts.mapInArrow(partial(_term_counts, shared=bloom), "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
     rare = scratch.keep(counted.where(F.col("n_t") <= ceiling(F.lit(most))), "rare", narrow=True)
     n_rare = rare.count()
     if not n_rare:
         return none
-    passing = spark.sparkContext.broadcast(build_bloom(rare.select("term").mapInArrow(_term_ids, "id long"), n_rare))
+    passing = spark.sparkContext.broadcast(build_bloom(rare.select(F.xxhash64("term").alias("id")), n_rare))
     near = held.select("__text", "text_key").mapInArrow(partial(_text_terms, shared=passing), pairs).join(rare, "term")
     near = near.join(classes, "text_key").where(F.col("n_t") <= ceiling(F.col("n_e")))
     near = scratch.keep(near, "near", narrow=True)
@@ -341,5 +336,6 @@ def sanitise(df: DataFrame, text: str = "text", limits: Disclosure = Disclosure(
     plain = df.mapInArrow(partial(_split, text=text, key=None), df.schema)
     keyed = T.StructType([*df.schema.fields, T.StructField(key, T.BinaryType())])
     touched = df.mapInArrow(partial(_split, text=text, key=key), keyed)
-    joined = touched.join(terms.select(F.col("text_key").alias(key), F.col("terms").alias(own)), key, "left").select(*df.columns, own)
+    # merged, so that a task has one Python worker: finding the rows and masking them stand on two sides of an exchange
+    joined = touched.join(terms.select(F.col("text_key").alias(key), F.col("terms").alias(own)).hint("merge"), key, "left").select(*df.columns, own)
     return plain.unionByName(joined.mapInArrow(partial(_masked, text=text, terms=own), df.schema))

@@ -236,6 +236,12 @@ def test_generalised_terms_keep_their_kind_of_word():
     assert pii.mask("Smith NASA quarks", [], terms) == "<NAME> <ACRONYM> <TERM>"
 
 
+def test_term_ids_are_the_columns_hashes(spark):
+    terms = ["alpha", "straße", "日本語", "x" * 100]
+    rows = spark.createDataFrame([(t,) for t in terms], "term string").select("term", F.xxhash64("term").alias("id")).collect()
+    assert all(pii._term_id(r.term) == r.id % (1 << 64) for r in rows)
+
+
 def test_own_columns_clash_with_none(spark):
     df = people(spark).withColumns({"__key0": F.lit(1), "__terms0": F.lit("x"), "__KEY1": F.lit(2), "__key": F.lit(3), "__terms": F.lit(4)})
     out = pii.sanitise(df)
